@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op9_audio_features
+from .chat import OP2_SQL, op2_chat_formatting
+from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op8_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_formatting": op2_chat_formatting,
+    "op5_secret_scan": op5_secret_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_audio_features": op9_audio_features,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_secret_scan": OP5_SQL}
