@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op9_audio_features
 from .chat import OP2_SQL, op2_chat_formatting
+from .language import op6_language_id
 from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op8_simhash_near_dedup
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_toxicity": op3_toxicity,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_audio_features": op9_audio_features,
 }
