@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .audio import op9_audio_features
 from .chat import OP2_SQL, op2_chat_formatting
 from .language import op6_language_id
+from .quality import op7_quality_rules
 from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op8_simhash_near_dedup
 from .toxicity import op3_toxicity
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
+    "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_audio_features": op9_audio_features,
 }
