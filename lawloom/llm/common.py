@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -44,7 +46,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
-    """Keep Arrow batches small enough for long texts: by rows and by bytes."""
+    """Before a Python pass: workers get the package, and Arrow batches stay small for long texts, by rows and by bytes."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
