@@ -94,6 +94,7 @@ def laws(spark: SparkSession, max_order: int = MAX_ORDER) -> DataFrame:
         # One sorted partition: the catalogue's numbering is a total order over a fixed, small table.
         by = W.orderBy("ord", "lhs_ord", "lhs_rank", "rhs_rank", "rhyme")
         numbered = every.coalesce(1).withColumn("node", F.row_number().over(by))
+        numbered = numbered.repartition(min(16, spark.sparkContext.defaultParallelism), "node")
         n_vars = F.size(F.array_distinct("rhyme"))
         names = terms.letters(n_vars)
         spelled = numbered.select(
@@ -166,3 +167,101 @@ def law_counts(spark: SparkSession, max_order: int = MAX_ORDER) -> DataFrame:
         rows.append((n, law_count(n), first))
         first += law_count(n)
     return spark.createDataFrame(rows, "ord int, n_laws long, first_node long")
+
+
+# -- Numbers of laws of any order, by counting what comes before.
+
+
+@cache
+def _completions(length: int, used: int) -> int:
+    """Ways to go on with a rhyme of ``used`` names for ``length`` more leaves."""
+    return 1 if length == 0 else used * _completions(length - 1, used) + _completions(length - 1, used + 1)
+
+
+def rhyme_rank(rhyme: tuple[int, ...]) -> int:
+    """Place of a rhyme among all of its length, from 0."""
+    rank, used = 0, 0
+    for i, x in enumerate(rhyme):
+        rank += x * _completions(len(rhyme) - i - 1, used)  # each lesser choice repeats a name in use
+        used = max(used, x + 1)
+    return rank
+
+
+def rhyme_of_rank(length: int, rank: int) -> tuple[int, ...]:
+    """Inverse of ``rhyme_rank``."""
+    out, used = [], 0
+    for left in range(length - 1, -1, -1):
+        x = min(rank // _completions(left, used), used)
+        rank -= x * _completions(left, used)
+        out.append(x)
+        used = max(used, x + 1)
+    return tuple(out)
+
+
+def _turned(rhyme: tuple[int, ...]) -> tuple[tuple[int, ...], bool]:
+    """The rhyme with its halves swapped and renumbered, and whether the swap leaves it as it is."""
+    half = len(rhyme) // 2
+    raw = rhyme[half:] + rhyme[:half]
+    seen: dict[int, int] = {}
+    return tuple(seen.setdefault(x, len(seen)) for x in raw), raw == rhyme
+
+
+def _counts(rhyme: tuple[int, ...], order: int) -> bool:
+    turned, same = _turned(rhyme)
+    return not (turned < rhyme or (same and order > 0))
+
+
+@cache
+def _symmetric_ranks(order: int) -> tuple[int, ...]:
+    """Ranks of the rhymes that a law with two equal shapes can have, ascending."""
+    n = order + 2
+    return tuple(r for r in range(bell(n)) if _counts(rhyme_of_rank(n, r), order))
+
+
+def _blocks(order: int):
+    """Shape pairs of an order with how many laws each has, in the order of numbering."""
+    for k in range(order // 2 + 1):
+        for i in range(catalan(k)):
+            for j in range(i if 2 * k == order else 0, catalan(order - k)):
+                yield k, i, j, (len(_symmetric_ranks(order)) if 2 * k == order and i == j else bell(order + 2))
+
+
+def law_number(lhs: tuple[int, ...], rhs: tuple[int, ...]) -> int:
+    """Number of the law of two postfix sides, of any order; 0 for a tautology with an operation."""
+    order = lhs.count(terms.OP) + rhs.count(terms.OP)
+    bare = lambda t: tuple(x if x == terms.OP else 0 for x in t)
+    spell = lambda a, b: tuple(x for x in a + b if x != terms.OP)
+    place = lambda t: (t.count(terms.OP), shape_list(t.count(terms.OP)).index(bare(t)))
+
+    def renumbered(r):
+        seen: dict[int, int] = {}
+        return tuple(seen.setdefault(x, len(seen)) for x in r)
+
+    if lhs == rhs and order:
+        return 0
+    ways = sorted((place(a), place(b), renumbered(spell(a, b))) for a, b in ((lhs, rhs), (rhs, lhs)))
+    (k, i), (_, j), rhyme = ways[0]
+    number = sum(law_count(n) for n in range(order)) + 1
+    for block in _blocks(order):
+        if block[:3] == (k, i, j):
+            rank = rhyme_rank(rhyme)
+            return number + (_symmetric_ranks(order).index(rank) if 2 * k == order and i == j else rank)
+        number += block[3]
+    raise AssertionError("a law has a pair of shapes of its order")
+
+
+def law_of_number(number: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Postfix sides of the law with that number, of any order."""
+    if number < 1:
+        raise ValueError("laws are numbered from 1")
+    order, left = 0, number - 1
+    while left >= law_count(order):
+        left -= law_count(order)
+        order += 1
+    for k, i, j, size in _blocks(order):
+        if left < size:
+            rank = _symmetric_ranks(order)[left] if 2 * k == order and i == j else left
+            leaf = iter(rhyme_of_rank(order + 2, rank))
+            return tuple(tuple(t if t == terms.OP else next(leaf) for t in shape) for shape in (shape_list(k)[i], shape_list(order - k)[j]))
+        left -= size
+    raise AssertionError("blocks cover an order")
