@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, crc32_fold, table
+from .common import arrow_batches, crc32_fold, materialise, table
 from .learn import examples, labelled_sample, sigmoid
 
 #: Examples to learn from at most, half of them toxic.
@@ -31,6 +31,8 @@ FEATURES = 3000
 GRADES = 4
 PREFIXES = (4, 5, 6)
 LEAST_DOCS = 4
+#: Examples whose features are handed to Spark at a time: a long text has tens of thousands.
+PIECE = 32
 REJECT = 0.5
 WORD = re.compile(r"\w+")
 
@@ -89,30 +91,13 @@ def scale(counts: np.ndarray, words: np.ndarray | int) -> np.ndarray:
     return np.log1p(100 * counts / words)
 
 
-def _select(rows: list[tuple[Counter, int, int]]) -> tuple[list[str], set[str]]:
-    """The features most tied to either label, and the markers of toxicity among them."""
-    seen = {0: Counter(), 1: Counter()}
-    totals = Counter(y for _, _, y in rows)
-    for counts, _, y in rows:
-        seen[y].update(counts.keys())
-    scored = []
-    for f in set(seen[0]) | set(seen[1]):
-        a, b = seen[1][f], seen[0][f]
-        if a + b >= LEAST_DOCS:
-            odds = np.log((a + 0.5) / (totals[1] - a + 0.5)) - np.log((b + 0.5) / (totals[0] - b + 0.5))
-            error = np.sqrt(1 / (a + 0.5) + 1 / (totals[1] - a + 0.5) + 1 / (b + 0.5) + 1 / (totals[0] - b + 0.5))
-            scored.append((abs(odds / error), f, odds, b))
-    scored.sort(key=lambda s: (-s[0], s[1]))
-    chosen = scored[:FEATURES]
-    return [s[1] for s in chosen], {s[1] for s in chosen if s[0] > 4 and s[2] > 3}
-
-
-def train(rows: list[tuple[dict, int, int]], rates: dict[int, float], steps: int = 400, l2: float = 1e-3) -> SeverityModel:
+def train(
+    rows: list[tuple[dict, int, int]], names: list[str], markers: set[str], rates: dict[int, float], steps: int = 400, l2: float = 1e-3
+) -> SeverityModel:
     """Fit to ``(feature counts, words, toxic 0/1)``; ``rates`` undoes the sampling by label."""
     rows = [r for r in rows if r[1]]
     if len({r[2] for r in rows}) < 2:
         return SeverityModel({}, np.zeros(0), np.zeros(0))
-    names, markers = _select(rows)
     index = {f: i for i, f in enumerate(names)}
     dense = np.array([sum(n for f, n in c.items() if f in markers) / n_words for c, n_words, _ in rows])
     toxic = np.array([y for _, _, y in rows], bool)
@@ -127,7 +112,6 @@ def train(rows: list[tuple[dict, int, int]], rates: dict[int, float], steps: int
     at, col, val = np.array(at, np.int64), np.array(col, np.int64), np.array(val)
     weight = np.array([1 / rates[int(y)] for y in toxic])
     weight /= weight.sum()
-    above = (grade[:, None] > np.arange(GRADES - 1)).astype(float)
     w, t0, gaps = np.zeros(len(names)), 0.0, np.zeros(GRADES - 2)
     m = [np.zeros_like(w), 0.0, np.zeros_like(gaps)]
     v = [np.zeros_like(w), 0.0, np.zeros_like(gaps)]
@@ -154,7 +138,6 @@ def train(rows: list[tuple[dict, int, int]], rates: dict[int, float], steps: int
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
             moved.append(x - 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-10))
         w, t0, gaps = moved
-    del above
     return SeverityModel(index, w, t0 + np.concatenate(([0], np.cumsum(np.exp(gaps)))))
 
 
@@ -167,48 +150,62 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, *feature_counts(t), y) for i, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([list(f[1].keys()) for f in found], pa.list_(pa.string())),
-                    pa.array([list(f[1].values()) for f in found], pa.list_(pa.int32())),
-                    pa.array([f[2] for f in found], pa.int64()),
-                    pa.array([f[3] for f in found], pa.int32()),
-                ],
-                names=["doc_id", "names", "counts", "words", "label"],
-            )
+            for at in range(0, batch.num_rows, PIECE):
+                part = zip(*(c.to_pylist() for c in batch.slice(at, PIECE).columns), strict=True)
+                found = [(i, *feature_counts(t), y) for i, t, y in part]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f[0] for f in found], pa.int64()),
+                        pa.array([list(f[1].keys()) for f in found], pa.list_(pa.string())),
+                        pa.array([list(f[1].values()) for f in found], pa.list_(pa.int32())),
+                        pa.array([f[2] for f in found], pa.int64()),
+                        pa.array([f[3] for f in found], pa.int32()),
+                    ],
+                    names=["doc_id", "names", "counts", "words", "label"],
+                )
 
     made = examples(docs, chosen).mapInArrow(run, "doc_id long, names array<string>, counts array<int>, words long, label int")
-    # Rare features cannot be selected: only those of enough sampled documents come to the driver.
-    made = made.withColumn("row", F.xxhash64("doc_id", "names", "counts"))
-    each = made.select("doc_id", "row", "words", "label", F.explode(F.arrays_zip("names", "counts")).alias("f"))
-    common = each.groupBy(F.col("f.names").alias("name")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).select("name")
+    made = materialise(made.where("words > 0").withColumn("row", F.xxhash64("doc_id", "names", "counts")), "toxicity-examples")
+    totals = {r["label"]: r["n"] for r in made.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
+        return SeverityModel({}, np.zeros(0), np.zeros(0))
+    each = made.select("doc_id", "row", "words", "label", F.explode(F.arrays_zip("names", "counts")).alias("f")).select(
+        "doc_id", "row", "words", "label", F.col("f.names").alias("name"), F.col("f.counts").alias("n")
+    )
+    tied = materialise(_tied(each, totals), "toxicity-features")
+    picked = [(r["name"], r["marker"]) for r in tied.collect()]
+    # Every example comes to the driver, with the chosen features it has.
     kept = (
-        each.select("doc_id", "row", "words", "label", F.col("f.names").alias("name"), F.col("f.counts").alias("n"))
-        .join(common, "name")
+        each.join(F.broadcast(tied.select("name")), "name")
         .groupBy("doc_id", "row", "words", "label")
         .agg(F.collect_list(F.struct("name", "n")).alias("f"))
     )
+    bare = made.select("doc_id", "row", "words", "label", F.array().cast("array<struct<name: string, n: int>>").alias("f"))
     rows = [
-        (dict(zip(f["name"].to_pylist(), f["n"].to_pylist(), strict=True)), words, label, doc, row)
-        for doc, row, words, label, f in (
-            (r["doc_id"].as_py(), r["row"].as_py(), r["words"].as_py(), r["label"].as_py(), r["f"])
-            for r in _rows(kept.toArrow())
-        )
+        (row["doc_id"], row["row"], dict(zip(names, counts, strict=True)), row["words"], row["label"])
+        for row, names, counts in _rows(kept.unionByName(bare.join(kept.select("doc_id", "row"), ["doc_id", "row"], "left_anti")).toArrow())
     ]
-    rows.sort(key=lambda r: (r[3], r[4]))
-    return train([r[:3] for r in rows], rates)
+    rows.sort(key=lambda r: r[:2])
+    return train([r[2:] for r in rows], [p[0] for p in picked], {p[0] for p in picked if p[1]}, rates)
+
+
+def _tied(each: DataFrame, totals: dict[int, int]) -> DataFrame:
+    """``(name, marker)``: the features most tied to either label, and which of them mark toxicity."""
+    seen = each.groupBy("name").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    rest_a, rest_b = totals[1] - F.col("a") + 0.5, totals[0] - F.col("b") + 0.5
+    odds = F.log(a / rest_a) - F.log(b / rest_b)
+    z = odds / F.sqrt(1 / a + 1 / rest_a + 1 / b + 1 / rest_b)
+    scored = seen.where(F.col("a") + F.col("b") >= LEAST_DOCS).select("name", odds.alias("odds"), F.round(z, 9).alias("z"))
+    top = scored.orderBy(F.abs("z").desc(), "name").limit(FEATURES)
+    return top.select("name", ((F.col("z") > 4) & (F.col("odds") > 3)).alias("marker"))
 
 
-def _rows(got: pa.Table) -> Iterator[dict]:
+def _rows(got: pa.Table) -> Iterator[tuple[dict, list[str], list[int]]]:
     for batch in got.to_batches():
-        lists = batch.column("f")
-        for i in range(batch.num_rows):
-            f = lists[i].values
-            yield {k: batch.column(k)[i] for k in ("doc_id", "row", "words", "label")} | {
-                "f": {"name": f.field("name"), "n": f.field("n")}
-            }
+        plain = batch.select(["doc_id", "row", "words", "label"]).to_pylist()
+        for row, f in zip(plain, batch.column("f"), strict=True):
+            yield row, f.values.field("name").to_pylist(), f.values.field("n").to_pylist()
 
 
 def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
