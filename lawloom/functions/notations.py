@@ -577,8 +577,12 @@ class Notation:
             names = F.transform(v["names"], F.lower) if self.name == "tptp" else v["names"]
             return F.when(alike, F.struct(names.alias("names"), v["lhs"].alias("lhs"), v["rhs"].alias("rhs")))
 
+        def whole(side: Column) -> Column:
+            """A term has one name more than operations; a sign without arguments breaks that."""
+            return F.coalesce(2 * F.size(F.filter(side, lambda t: t == SIGN)) + 1 == F.size(side), F.lit(False))
+
         def encoded(p: Column) -> Column:
-            return F.when(p["lhs"].isNotNull() & p["rhs"].isNotNull(), terms.let(terms.encode(p["lhs"], p["rhs"]), checked))
+            return F.when(whole(p["lhs"]) & whole(p["rhs"]), terms.let(terms.encode(p["lhs"], p["rhs"]), checked))
 
         return terms.let(source, lambda text: terms.let(self.read(text), encoded))
 
