@@ -106,6 +106,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     Every returned link is a true one.  For slots of up to ``hot`` fingerprints
     all links are returned; for larger ones a subset with the same components.
     """
+    hot = max(hot, 1)
     entries = _indexed(fps)
     sizes = entries.groupBy("seg", "key").agg(F.count("*").alias("n"))
     crowded = sizes.where(F.col("n") > hot).select("seg", "key")

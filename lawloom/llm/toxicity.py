@@ -190,14 +190,18 @@ def fit_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Se
 
 
 def _tied(each: DataFrame, totals: dict[int, int]) -> DataFrame:
-    """``(name, marker)``: the features most tied to either label, and which of them mark toxicity."""
+    """``(name, marker)``: the features most tied to the toxic label, and which of them mark it clearly.
+
+    Features of clean texts are left out: a text that shares none of them (in
+    an unseen language, say) must not count as toxic for that.
+    """
     seen = each.groupBy("name").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     rest_a, rest_b = totals[1] - F.col("a") + 0.5, totals[0] - F.col("b") + 0.5
     odds = F.log(a / rest_a) - F.log(b / rest_b)
     z = odds / F.sqrt(1 / a + 1 / rest_a + 1 / b + 1 / rest_b)
     scored = seen.where(F.col("a") + F.col("b") >= LEAST_DOCS).select("name", odds.alias("odds"), F.round(z, 9).alias("z"))
-    top = scored.orderBy(F.abs("z").desc(), "name").limit(FEATURES)
+    top = scored.where("z > 0").orderBy(F.col("z").desc(), "name").limit(FEATURES)
     return top.select("name", ((F.col("z") > 4) & (F.col("odds") > 3)).alias("marker"))
 
 
