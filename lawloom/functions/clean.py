@@ -24,6 +24,7 @@ DIALECT_MACROS = (
 
 #: White space as Python's str.isspace takes it.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _START = r"[\p{L}\p{Nl}_]"
 IDENT = rf"{_START}[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]*+"
 _QUANTIFIER = rf"(?i:∀|\\forall\b|for{SPACE}+(?:all|every|any)\b){SPACE}*"
@@ -31,7 +32,7 @@ _QUANTIFIER = rf"(?i:∀|\\forall\b|for{SPACE}+(?:all|every|any)\b){SPACE}*"
 
 def strip(text: Column) -> Column:
     """White space off both ends, Unicode's included."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def strip_quantifiers(text: Column) -> Column:
@@ -46,19 +47,25 @@ def strip_quantifiers(text: Column) -> Column:
     return F.regexp_replace(text, rf"^(?:{SPACE}*{_QUANTIFIER}(?:{closed}|{listed}){SPACE}*)+", "")
 
 
-def strip_noise(text: Column) -> Column:
-    """The bare equation: fences, math delimiters, wrappers, macros, quantifiers and a final period taken off."""
-    s = strip(text)
-    s = strip(F.regexp_replace(s, rf"^```[a-zA-Z]*{SPACE}*|{SPACE}*```$", ""))
-    s = strip(F.regexp_replace(s, "^`+|`+$", ""))
+def _without_macros(s: Column) -> Column:
+    """Math delimiters, wrappers and macros taken off; only texts with a backslash or dollar have any."""
     s = F.regexp_replace(s, r"\\[()\[\]]|\$", "")
     s = F.regexp_replace(s, r"\\(?:text|mathrm|mathbf|mathit|mathbin)\{([^{}]*)\}", "$1")
     for macro, sign in MACROS.items():
         s = F.regexp_replace(s, rf"\\{macro}(?![A-Za-z])", sign)
     s = F.regexp_replace(s, r"\\left", "")
-    s = F.regexp_replace(s, r"\\right", "")
+    return F.regexp_replace(s, r"\\right", "")
+
+
+def strip_noise(text: Column) -> Column:
+    """The bare equation: fences, math delimiters, wrappers, macros, quantifiers and a final period taken off."""
+    s = strip(text)
+    fenced = strip(F.regexp_replace(s, rf"^```[a-zA-Z]*{SPACE}*|{SPACE}*```$", ""))
+    s = F.when(F.contains(s, F.lit("```")), fenced).otherwise(s)
+    s = strip(F.btrim(s, F.lit("`")))
+    s = F.when(F.rlike(s, F.lit(r"[\\$]")), _without_macros(s)).otherwise(s)
     s = strip_quantifiers(s)
-    return strip(F.regexp_replace(s, r"\.+$", ""))
+    return strip(F.rtrim(s, F.lit(".")))
 
 
 def clean_dialect(text: Column) -> Column:

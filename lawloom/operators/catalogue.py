@@ -78,33 +78,51 @@ def _of_order(spark: SparkSession, trees: DataFrame, n: int) -> DataFrame:
     )
 
 
+def generated(spark: SparkSession, max_order: int = MAX_ORDER) -> DataFrame:
+    """The laws' numbers, shapes, rhymes and sides, made as a distributed plan; for orders with many laws."""
+    trees = shapes(spark, max_order)
+    every = None
+    for n in range(max_order + 1):
+        part = _of_order(spark, trees, n)
+        every = part if every is None else every.unionByName(part)
+    # Numbers within a block of shapes come from a window over the block; blocks are few and their sizes are summed.
+    block = ["ord", "lhs_ord", "lhs_rank", "rhs_rank"]
+    ranked = every.withColumn("place", F.row_number().over(W.partitionBy(*block).orderBy("rhyme")))
+    sizes = ranked.groupBy(*block).agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(W.orderBy(*block)) - F.col("size")).drop("size")
+    numbered = ranked.join(F.broadcast(before), block).withColumn("node", (F.col("before") + F.col("place")).cast("int"))
+    return numbered.select("node", "ord", "lhs_ord", "lhs_rank", "rhs_ord", "rhs_rank", "rhyme", "lhs", "rhs")
+
+
+def spelled(numbered: DataFrame) -> DataFrame:
+    """Numbered sides with the law's text, key and names."""
+    n_vars = F.size(terms.variables(F.col("lhs"), F.col("rhs")))
+    names = terms.letters(n_vars)
+    return numbered.select(
+        "node",
+        terms.render(F.col("lhs"), F.col("rhs"), terms.letters()).alias("formal"),
+        terms.canonical_key(F.col("lhs"), F.col("rhs")).alias("canonical_key"),
+        "ord", n_vars.alias("n_vars"), names.alias("variables"), names.alias("names"), "lhs", "rhs",
+    )
+
+
 def laws(spark: SparkSession, max_order: int = MAX_ORDER) -> DataFrame:
-    """``node, formal, canonical_key, ord, n_vars, variables, names, lhs, rhs`` and the law's shapes and rhyme.
+    """``node, formal, canonical_key, ord, n_vars, variables, names, lhs, rhs``.
 
     The result has a fixed size for each ``max_order`` (4694 rows for 4) and is
-    kept in memory, once per session, because most operators join it.
+    kept in memory, once per session, because most operators join it.  Up to
+    order 4 the sides are counted out on the driver; more are generated in Spark.
     """
     kept = _kept.setdefault(spark, {})
     if max_order not in kept:
-        trees = shapes(spark, max_order)
-        every = None
-        for n in range(max_order + 1):
-            part = _of_order(spark, trees, n)
-            every = part if every is None else every.unionByName(part)
-        # One sorted partition: the catalogue's numbering is a total order over a fixed, small table.
-        by = W.orderBy("ord", "lhs_ord", "lhs_rank", "rhs_rank", "rhyme")
-        numbered = every.coalesce(1).withColumn("node", F.row_number().over(by))
-        numbered = numbered.repartition(min(16, spark.sparkContext.defaultParallelism), "node")
-        n_vars = F.size(F.array_distinct("rhyme"))
-        names = terms.letters(n_vars)
-        spelled = numbered.select(
-            "node",
-            terms.render(F.col("lhs"), F.col("rhs"), names).alias("formal"),
-            terms.canonical_key(F.col("lhs"), F.col("rhs")).alias("canonical_key"),
-            "ord", n_vars.alias("n_vars"), names.alias("variables"), names.alias("names"),
-            "lhs", "rhs", "lhs_ord", "lhs_rank", "rhs_ord", "rhs_rank", "rhyme",
-        )
-        kept[max_order] = spelled.cache()
+        if max_order <= MAX_ORDER:
+            sides = (law_of_number(k) for k in range(1, sum(map(law_count, range(max_order + 1))) + 1))
+            rows = [(k, sum(t == terms.OP for t in a + b), list(a), list(b)) for k, (a, b) in enumerate(sides, 1)]
+            numbered = spark.createDataFrame(rows, "node int, ord int, lhs array<int>, rhs array<int>")
+            numbered = numbered.repartition(min(16, spark.sparkContext.defaultParallelism), "node")
+        else:
+            numbered = generated(spark, max_order)
+        kept[max_order] = spelled(numbered).cache()
     return kept[max_order]
 
 

@@ -66,6 +66,7 @@ def run(df: DataFrame, matrix: DataFrame, max_size: int = 3) -> DataFrame:
     which can only tell that neither side implies the other.
     """
     named = normalize_dialect(law_text(df, "intended_id", "intended_equation"), "generated_equation_raw", "__n")
+    named = named.persist()  # read below by every route; lost parts are computed again
     n = F.col("__n")
     wide = named.withColumns({"__node": F.when(n["status"] == "in_fragment", n["etp_id"].cast("int")), "__beyond": F.when(n["status"] == "outside_fragment", n["normalized"])})
     known = with_status(with_status(wide, matrix, "intended_id", "__node", "__f"), matrix, "__node", "intended_id", "__b")

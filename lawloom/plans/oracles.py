@@ -335,6 +335,7 @@ SELECT CAST(ord AS INT) AS ord, CAST(rank AS INT) AS rank, bits FROM (SELECT * F
     out["catalog_all"] = with_laws(
         f"SELECT CAST(node AS INT) AS node, formal, canonical_key, CAST(ord AS INT) AS ord, CAST(list_max(rhyme) + 1 AS INT) AS n_vars FROM ({_key_rows()})", FORMAL
     )
+    out["catalog_generated"] = out["catalog_all"]
     out["catalog_by_order"] = with_laws("SELECT CAST(ord AS INT) AS \"order\", count(*) AS n_laws FROM laws GROUP BY ord")
     out["catalog_by_variables"] = with_laws("SELECT CAST(list_max(rhyme) + 1 AS INT) AS n_vars, count(*) AS n_laws FROM laws GROUP BY 1")
     out["law_counts"] = with_laws("SELECT CAST(ord AS INT) AS ord, count(*) AS n_laws, min(node) AS first_node FROM laws GROUP BY ord")
@@ -362,6 +363,11 @@ SELECT CAST(ord AS INT) AS ord, CAST(rank AS INT) AS rank, bits FROM (SELECT * F
             "WHERE node IN (SELECT 1 + p_partkey % 4694 FROM part)",
             name,
         )
+    for name in ("text", "text2"):
+        out[f"catalogue_{name}"] = with_laws(
+            f"SELECT CAST(node AS INT) AS node, f.t AS formal, {rendering(name)} AS rendering, CAST(ord AS INT) AS \"order\" "
+            f"FROM {_join(name)} JOIN (SELECT node AS n, {FORMAL_TEXT} AS t FROM {_join(FORMAL)}) f ON f.n = node", name, FORMAL
+        )
     every = " UNION ALL ".join(f"SELECT '{n}' AS notation, node, {rendering(n)} AS r FROM {_join(n)}" for n in MAKERS)
     out["render_length_stats"] = with_laws(
         f"SELECT notation, CAST(min(length(r)) AS INT) AS least, round(avg(length(r)), 1) AS mean, CAST(max(length(r)) AS INT) AS most FROM ({every}) GROUP BY notation", *MAKERS

@@ -44,6 +44,11 @@ def catalog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laws(spark).select("node", "formal", "canonical_key", "ord", "n_vars")
 
 
+def catalog_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``catalog_all``, by the distributed generator."""
+    return catalogue.spelled(catalogue.generated(spark)).select("node", "formal", "canonical_key", "ord", "n_vars")
+
+
 def catalog_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.count_by_order(laws(spark), "ord")
 
@@ -70,6 +75,15 @@ def render_of(name: str) -> Query:
     return run
 
 
+def catalogue_of(name: str) -> Query:
+    """The whole catalogue in a notation, written only after every gate holds."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return verify.verified(verify.build_rows(spark, name), name).select("node", "formal", "rendering", "order")
+
+    return run
+
+
 def render_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.all_lengths(spark)
 
@@ -267,11 +281,11 @@ def law_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        shape_enumeration, rhyme_enumeration, catalog_all, catalog_by_order, catalog_by_variables, law_counts, catalog_dual,
+        shape_enumeration, rhyme_enumeration, catalog_all, catalog_generated, catalog_by_order, catalog_by_variables, law_counts, catalog_dual,
         render_length_stats, distinct_check, round_trips, words_per_law, canonical_key_lookup, resolve_numbers,
         magma2_satisfaction, magma3_counts, refutation_order2, refuted_pairs, first_witness, verdict_histogram,
         verdict_histogram_derived, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
         strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, dialect_lookup,
         drift_explanations, law_mutations,
     )
-} | {f"render_{n}": render_of(n) for n in NOTATIONS}
+} | {f"catalogue_{n}": catalogue_of(n) for n in ("text", "text2")} | {f"render_{n}": render_of(n) for n in NOTATIONS}
