@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse, terms
-from .catalogue import CATALOGUE_SIZE, MAX_ORDER, law_number, laws
+from .catalogue import CATALOGUE_SIZE, MAX_ORDER, law_number, law_of_number, laws
 
 MAPPED, INTERNAL = "mapped", "internal-error"
 #: Reasons as users know them.  Fixed values.
@@ -131,3 +131,36 @@ def normalize_dialect(df: DataFrame, column: str, out: str = "normalized") -> Da
         F.when(~ok, F.col("p.reason")).alias("error"),
     )
     return df.join(keyed.select("__text", result.alias(out)), df[column].eqNullSafe(F.col("__text"))).drop("__text")
+
+
+def _sides(numbers: pd.Series) -> pd.DataFrame:
+    rows = [([], []) if pd.isna(n) or n < 1 else tuple(map(list, law_of_number(int(n)))) for n in numbers]
+    return pd.DataFrame(rows, columns=["lhs", "rhs"])
+
+
+def laws_by_number(df: DataFrame, column: str, out: str = "law") -> DataFrame:
+    """``df`` with ``struct<lhs, rhs, formal>`` of the law with that number, of any order; null below 1.
+
+    Numbers within the catalogue are looked up in it elsewhere (``law_text``);
+    this counts them out, once per distinct number.
+    """
+    from ..shipping import ship
+
+    ship(df.sparkSession)
+    udf = F.pandas_udf(_sides, "lhs array<int>, rhs array<int>")
+    each = df.select(F.col(column).alias("__n")).distinct().withColumn("t", udf(F.col("__n").cast("long")))
+    lhs, rhs = F.col("t.lhs"), F.col("t.rhs")
+    size = F.size(terms.variables(lhs, rhs))
+    names = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), terms.dialect_name)
+    law = F.when(F.size(lhs) > 0, F.struct(lhs.alias("lhs"), rhs.alias("rhs"), terms.render(lhs, rhs, names).alias("formal")))
+    return df.join(each.select("__n", law.alias(out)), df[column].eqNullSafe(F.col("__n"))).drop("__n")
+
+
+def find(specs_df: DataFrame, out: str = "found") -> DataFrame:
+    """``specs_df(spec, dual)`` with the number of each law, or of its dual where asked for; null if it has none."""
+    from .catalogue import dual
+
+    told = resolve(specs_df, "spec", "__told")
+    other = dual(laws(specs_df.sparkSession)).select(F.col("node").alias("__node"), "dual_node")
+    met = told.join(F.broadcast(other), F.col("__told.node") == F.col("__node"), "left")
+    return met.withColumn(out, F.when(F.col("dual"), F.col("dual_node")).otherwise(F.col("__told.node"))).drop("__told", "__node", "dual_node")

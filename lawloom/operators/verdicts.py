@@ -94,3 +94,22 @@ def compare(df: DataFrame, intended: str, generated: str, matrix: DataFrame, ing
 def histogram(labelled: DataFrame, column: str = "label") -> DataFrame:
     """``(label, n)``."""
     return labelled.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
+
+
+def implies(pairs: DataFrame, edge_rows: DataFrame, hyp: str, concl: str, out: str) -> DataFrame:
+    """``pairs`` with true, false or null: what an edge list ``(hyp, concl, status)`` proves; a missing edge proves nothing.
+
+    An equi-join on both numbers, for edge tables that are too large or too
+    partial for the packed matrix.
+    """
+    edge = edge_rows.select(F.col("hyp").alias("__h"), F.col("concl").alias("__c"), F.col("status").alias("__s"))
+    told = F.when(F.col("__s") == PROOF_TRUE, True).when(F.col("__s") == PROOF_FALSE, False)
+    met = pairs.join(edge, (F.col(hyp) == F.col("__h")) & (F.col(concl) == F.col("__c")), "left")
+    return met.withColumn(out, told).drop("__h", "__c", "__s")
+
+
+def edge_relations(pairs: DataFrame, edge_rows: DataFrame, intended: str = "intended", generated: str = "generated") -> DataFrame:
+    """``pairs`` with ``label`` from an edge list in both directions; a law's relation to itself is only what its own edge says."""
+    both = implies(implies(pairs, edge_rows, intended, generated, "__f"), edge_rows, generated, intended, "__b")
+    code = lambda c: F.when(F.col(c), PROOF_TRUE).when(~F.col(c), PROOF_FALSE)
+    return both.withColumn("label", relation(code("__f"), code("__b"))).drop("__f", "__b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import terms
+from ..functions import parse, terms
 from ..functions.notations import NOTATIONS, Notation, notation
 from . import magmas
 from .catalogue import laws
@@ -108,3 +108,33 @@ def same_laws(one: DataFrame, two: DataFrame, first: Notation | str, second: Not
     left = one.select("node", a.read_back(F.col("rendering")).alias("x"))
     right = two.select("node", b.read_back(F.col("rendering")).alias("y"))
     return left.join(right, "node").select("node", F.coalesce((F.col("x.lhs") == F.col("y.lhs")) & (F.col("x.rhs") == F.col("y.rhs")), F.lit(False)).alias("same"))
+
+
+def analyzed_rendering(df: DataFrame, column: str, form: Notation | str, out: str = "rendered") -> DataFrame:
+    """``df`` with ``struct<ok, rendering, error, reason>``: an equation text written in a notation.
+
+    The error is the parser's, or says that the notation cannot spell a name.
+    """
+    form = notation(form) if isinstance(form, str) else form
+    target = {"lean": "lean", "py_lambda": "python", "py_cayley_table": "python"}.get(form.name, form.name)
+    read = parse.analyzed(df, column, "__a")
+    a = F.col("__a")
+    text = F.when(a["ok"], form.rendered(a["lhs"], a["rhs"], a["names"]))
+    unspoken = a["ok"] & text.isNull()
+    result = F.struct(
+        (a["ok"] & text.isNotNull()).alias("ok"),
+        text.alias("rendering"),
+        F.when(unspoken, f"{target}-unrepresentable").otherwise(a["error"]).alias("error"),
+        F.when(unspoken, "a variable's name cannot be used in this notation").otherwise(a["reason"]).alias("reason"),
+    )
+    return read.withColumn(out, result).drop("__a")
+
+
+def same_equation(a: Column, b: Column, renamed: bool = False) -> Column:
+    """Whether two encoded equations are one tree, with the same names or up to renaming."""
+    one, two = terms.renumber(a["lhs"], a["rhs"]), terms.renumber(b["lhs"], b["rhs"])
+    same = (one["lhs"] == two["lhs"]) & (one["rhs"] == two["rhs"])
+    if renamed:
+        return same
+    named = lambda e: F.transform(terms.variables(e["lhs"], e["rhs"]), lambda t: F.get(e["names"], t))
+    return same & (named(a) == named(b))

@@ -470,6 +470,37 @@ SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN broken THEN 'invalid' W
       ELSE 'UNKNOWN -- the available oracle could not determine the relationship within its search bounds.' END) END) AS explanation
 FROM told"""
     out["drift_explanations"] = story
+    out["drift_summary"] = f"""SELECT label, CASE WHEN label = 'equivalent' THEN 'no drift' WHEN label IN ('weaker', 'stronger') THEN 'directional drift'
+  WHEN label = 'incomparable' THEN 'mismatch' WHEN label = 'invalid' THEN 'unreadable' ELSE 'inspect' END AS verdict, count(*) AS n FROM ({story}) GROUP BY ALL"""
+    small = labelled("orders", "1 + o_orderkey % 46", "1 + o_custkey % 46", "o_orderkey, ")
+    masked = "FROM p JOIN masks a ON a.node = i JOIN masks b ON b.node = g"
+    out["implication_lookup"] = small + (
+        f"SELECT o_orderkey, CASE WHEN i = g OR g = 1 OR i = 2 THEN 'true' WHEN (a.mask & ~b.mask) <> 0 THEN 'false' ELSE 'open' END AS implies {masked}"
+    )
+    out["edge_relations"] = small + (
+        f"SELECT CASE WHEN i = g THEN 'equivalent' ELSE {_label('i', 'g', 'a.mask', 'b.mask')} END AS label, count(*) AS n {masked} GROUP BY 1"
+    )
+    lab = _label("i", "g", "a.mask", "b.mask")
+    word = lambda x, y, m, k: f"CASE WHEN {x} = {y} OR {y} = 1 OR {x} = 2 THEN 'proof_true' WHEN ({m}.mask & ~{k}.mask) <> 0 THEN 'proof_false' ELSE 'unknown' END"
+    out["verdict_evidence"] = small + f"""
+SELECT *, CASE label WHEN 'equal' THEN 'both map to Equation ' || intended
+  WHEN 'equivalent' THEN 'derived proofs of Eq' || intended || ' => Eq' || generated || ' and Eq' || generated || ' => Eq' || intended
+  WHEN 'weaker' THEN 'derived proof of Eq' || intended || ' => Eq' || generated || '; counterexample table refutes Eq' || generated || ' => Eq' || intended
+  WHEN 'stronger' THEN 'derived proof of Eq' || generated || ' => Eq' || intended || '; counterexample table refutes Eq' || intended || ' => Eq' || generated
+  WHEN 'incomparable' THEN 'counterexample tables refute the implication in both directions'
+  ELSE 'not fully resolved: forward=' || forward || ', backward=' || backward END AS evidence
+FROM (SELECT DISTINCT CAST(i AS INT) AS intended, CAST(g AS INT) AS generated, {lab} AS label, {word('i', 'g', 'a', 'b')} AS forward, {word('g', 'i', 'b', 'a')} AS backward {masked})"""
+    out["metric_accuracy"] = small + (
+        "SELECT label, count(*) AS n, CAST(sum(CAST(same = (label IN ('equal', 'equivalent')) AS INT)) AS BIGINT) AS agree, "
+        "round(avg(CAST(same = (label IN ('equal', 'equivalent')) AS INT)), 6) AS accuracy "
+        f"FROM (SELECT i = g AS same, {lab} AS label {masked}) WHERE label <> 'unknown' GROUP BY label"
+    )
+    out["crosscheck_catalogue"] = """
+WITH u AS (SELECT DISTINCT 1 + p_partkey % 4694 AS node FROM part)
+SELECT 'missing' AS check, 4694 - count(*) AS n FROM u UNION ALL SELECT 'differing', count(*) FROM u WHERE node % 5 = 0 UNION ALL SELECT 'extra', 1"""
+    out["broken_renderings"] = "SELECT notation, 4694 // 47 AS n, 4694 // 47 AS n_refused FROM (VALUES " + ", ".join(f"('{n}')" for n in MAKERS if n != FORMAL) + ") AS x(notation)"
+    out["laws_beyond"] = "SELECT s_suppkey, 4694 + s_suppkey * 57 AS number, 4694 + s_suppkey * 57 AS again FROM supplier"
+    out["stream_labels"] = labelled("events", "1 + event_id % 4694", "1 + user_id % 4694", "") + f"SELECT {lab} AS label, count(*) AS n {masked} GROUP BY 1"
     return out
 
 

@@ -6,6 +6,7 @@ that real operators run on the given data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..functions import clean, terms
 from ..functions.notations import NOTATIONS, notation
 from ..operators import catalogue, drift, evidence, magmas, mapping, metrics, mutations, verdicts, verify
 from ..operators.catalogue import CATALOGUE_SIZE, laws
+from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -278,6 +280,97 @@ def law_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("node", "kind", "text", F.coalesce("mutant", F.lit(0)).alias("mutant"))
 
 
+def _order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of laws of at most two operations."""
+    orders = _table(spark, sf_dir, "orders")
+    small = lambda c: (1 + F.col(c) % 46).cast("int")
+    return orders.select("o_orderkey", small("o_orderkey").alias("intended"), small("o_custkey").alias("generated"))
+
+
+def _small_edges(spark: SparkSession) -> DataFrame:
+    return evidence.edges(evidence.plain(spark).where("hyp <= 46")).where("concl <= 46 and status <> 4")
+
+
+def implication_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an edge list says on each pair, by an equi-join on both numbers."""
+    told = verdicts.implies(_order_pairs(spark, sf_dir), _small_edges(spark), "intended", "generated", "told")
+    word = F.when(F.col("told"), "true").when(~F.col("told"), "false").otherwise("open")
+    return told.select("o_orderkey", word.alias("implies"))
+
+
+def edge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = verdicts.edge_relations(_order_pairs(spark, sf_dir), _small_edges(spark))
+    return told.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def verdict_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole verdicts on pairs given as text and number; each distinct pair is told once."""
+    pairs = _order_pairs(spark, sf_dir).select("intended", "generated").distinct()
+    spoken = mapping.law_text(pairs, "generated", "text").select("intended", "generated", F.col("intended").cast("string").alias("i"), "text")
+    told = verdicts.compare(spoken, "i", "text", evidence.plain(spark))
+    v = F.col("verdict")
+    return told.select("intended", "generated", v["label"].alias("label"), v["forward"].alias("forward"), v["backward"].alias("backward"), v["evidence"].alias("evidence"))
+
+
+def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.summary(drift_report(spark, sf_dir))
+
+
+def metric_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often equal normal forms agree with the label, by relation."""
+    pairs = _order_pairs(spark, sf_dir).withColumn("same", F.col("intended") == F.col("generated"))
+    return metrics.accuracy(verdicts.verdict_pairs(pairs, evidence.plain(spark)), "same")
+
+
+def crosscheck_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue against a list that has only some laws, every fifth of them misspelled, and one too many."""
+    used = _table(spark, sf_dir, "part").select(_node(F.col("p_partkey")).alias("node")).distinct()
+    own = laws(spark).select("node", "formal")
+    other = own.join(used, "node").select("node", F.when(F.col("node") % 5 == 0, F.concat("formal", F.lit("?"))).otherwise(F.col("formal")).alias("formal"))
+    extra = spark.range(1).select(F.lit(CATALOGUE_SIZE + 1).cast("int").alias("node"), F.lit("x = x").alias("formal"))
+    return verify.crosscheck(own, other.union(extra))
+
+
+def broken_renderings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many renderings without their last character are refused, by notation.
+
+    Under adversarial names a shorter name is still a name, so that notation is
+    left out.
+    """
+    some = laws(spark).where("node % 47 = 0")
+    out = None
+    for n in NOTATIONS:
+        if n == "confusable_vars":
+            continue
+        form = notation(n)
+        text = F.expr("substring(t, 1, length(t) - 1)")
+        cut = some.select(form.rendered(F.col("lhs"), F.col("rhs"), F.col("names"), F.col("node")).alias("t")).select(text.alias("t"))
+        refused = F.sum(form.read_back(F.col("t")).isNull().cast("long"))
+        part = cut.agg(F.count("*").alias("n"), refused.alias("n_refused")).select(F.lit(n).alias("notation"), "n", "n_refused")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def laws_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laws of five operations by their numbers, and their numbers again by their texts."""
+    given = _table(spark, sf_dir, "supplier").select("s_suppkey", (4694 + F.col("s_suppkey") * 57).alias("number"))
+    spoken = mapping.laws_by_number(given, "number").select("s_suppkey", "number", F.col("law.formal").alias("formal"))
+    told = mapping.normalize_dialect(spoken, "formal")
+    return told.select("s_suppkey", "number", F.col("normalized.etp_id").alias("again"))
+
+
+def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of law pairs, labelled batch by batch; the counts are kept in memory."""
+    schema = _table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table can be one file
+    pairs = events.select(_node(F.col("event_id")).alias("intended"), _node(F.col("user_id")).alias("generated"))
+    told = streams.labelled_stream(pairs, evidence.plain(spark)).groupBy("label").agg(F.count("*").alias("n"))
+    name = f"stream_labels_{uuid.uuid4().hex}"
+    query = told.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -286,6 +379,7 @@ QUERIES: dict[str, Query] = {
         magma2_satisfaction, magma3_counts, refutation_order2, refuted_pairs, first_witness, verdict_histogram,
         verdict_histogram_derived, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
         strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, dialect_lookup,
-        drift_explanations, law_mutations,
+        drift_explanations, law_mutations, implication_lookup, edge_relations, verdict_evidence, drift_summary,
+        metric_accuracy, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels,
     )
 } | {f"catalogue_{n}": catalogue_of(n) for n in ("text", "text2")} | {f"render_{n}": render_of(n) for n in NOTATIONS}

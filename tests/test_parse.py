@@ -70,3 +70,18 @@ def test_numbers_beyond_the_catalogue_in_the_second_dialect(spark):
     row = mapping.normalize_dialect(df, "t", "m").first()["m"]
     assert row["status"] == "outside_fragment"
     assert row["etp_id"] > 4694
+
+
+def test_finding_laws_and_duals(spark):
+    from lawloom.sources import readers
+
+    got = {(r["spec"], r["dual"]): r["found"] for r in mapping.find(readers.specs(spark, ["*4", "[43,", "x = y]", "* 8", "no law"])).collect()}
+    assert got[("43", False)] == 43 and got[("x = y", False)] == 2 and got[("no law", False)] is None
+    assert got[("4", True)] == 5 and got[("8", True)] == 23
+
+
+def test_laws_of_any_number(spark):
+    df = spark.createDataFrame([(43,), (4695,), (0,), (None,)], "n long")
+    got = {r["n"]: r["law"] and r["law"]["formal"] for r in mapping.laws_by_number(df, "n").collect()}
+    assert got[43] == "x ◇ y = y ◇ x" and got[0] is None and got[None] is None
+    assert got[4695].count("◇") == 5
