@@ -33,15 +33,15 @@ VERBOSE = (
 )
 BRANCH, LAST, PIPE, GAP = "├── ", "└── ", "│   ", "    "
 BRACKETS = {"bracket": ("open bracket", "close bracket"), "parenthesis": ("open parenthesis", "close parenthesis")}
-#: Names that the target language keeps to itself.
+#: Names that the target languages keep to themselves.  Fixed values.
 PYTHON_WORDS = (
     "False None True and as assert async await break class continue def del elif else except finally for from "
     "global if import in is lambda nonlocal not or pass raise return try while with yield"
 ).split()
 LEAN_WORDS = (
-    "abbrev at axiom by calc class def deriving do else end example extends for forall fun have if import in "
-    "inductive infix instance let match mutual namespace notation open private protected return section set_option "
-    "show structure suffices syntax then theorem universe unless using variable where while with Prop Sort Type"
+    "fun let in do if then else match with by at have show from calc where suffices theorem def abbrev lemma example "
+    "instance structure class inductive deriving open universe variable section namespace end import forall exists "
+    "Prop Type Sort"
 ).split()
 
 #: An identifier as the parser takes it.
