@@ -498,7 +498,7 @@ FROM (SELECT DISTINCT CAST(i AS INT) AS intended, CAST(g AS INT) AS generated, {
     out["crosscheck_catalogue"] = """
 WITH u AS (SELECT DISTINCT 1 + p_partkey % 4694 AS node FROM part)
 SELECT 'missing' AS check, 4694 - count(*) AS n FROM u UNION ALL SELECT 'differing', count(*) FROM u WHERE node % 5 = 0 UNION ALL SELECT 'extra', 1"""
-    out["broken_renderings"] = "SELECT notation, 4694 // 47 AS n, 4694 // 47 AS n_refused FROM (VALUES " + ", ".join(f"('{n}')" for n in MAKERS if n != FORMAL) + ") AS x(notation)"
+    out["broken_renderings"] = "SELECT notation, CAST(4694 // 47 AS BIGINT) AS n, CAST(4694 // 47 AS BIGINT) AS n_refused FROM (VALUES " + ", ".join(f"('{n}')" for n in MAKERS if n != FORMAL) + ") AS x(notation)"
     out["laws_beyond"] = "SELECT s_suppkey, 4694 + s_suppkey * 57 AS number, 4694 + s_suppkey * 57 AS again FROM supplier"
     out["stream_labels"] = labelled("events", "1 + event_id % 4694", "1 + user_id % 4694", "") + f"SELECT {lab} AS label, count(*) AS n {masked} GROUP BY 1"
     return out
