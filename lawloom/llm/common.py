@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_written: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def free(taken: list[str], *wanted: str) -> list[str]:
+    """The ``wanted`` names, each with as many underscores added as it takes to clash with no ``taken`` one, whatever the case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[F.Column]:
+    """All columns, quoted, so that any name will do."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for any column names: inside, columns are called c0, c1, ... by place, in and out."""
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, inner).toDF(*schema.names)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder, read it back.
 
@@ -42,9 +67,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete the tables this application wrote to the shared folder, when no result that reads them is needed any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
     """Before a Python pass: workers get the package, and Arrow batches stay small for long texts, by rows and by bytes."""
     ship(spark)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table
+from .common import arrow_batches, map_arrow, table
 
 SEED_WORDS = 5
 COVERAGE = 0.6
@@ -220,7 +220,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
             for batch in batches:
                 yield batch.filter(pa.array([not sent.value.leaks(t.as_py(), coverage) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_arrow(docs, run, schema)
     return docs
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, table
+from .common import columns_of, free, materialise, table
 
 BLOCK_TOKENS = 2_000_000
 EVENNESS = 0.97
@@ -144,21 +144,22 @@ def mix(docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, bud
     Reading order is epoch, position, then any order in a block.  A null source
     is a source of its own; documents without tokens (null texts too) are read
     with their block; a source without any token is read once.  Repeated rows
-    are read together.  Other columns stay as they are (the new names must be
-    free); an empty table gives an empty result.
+    are read together.  Other columns stay as they are (a new name that is
+    taken gets an underscore); an empty table gives an empty result.
     """
-    if {"epoch", "block", "position"} & set(docs.columns):
-        raise ValueError("the names epoch, block and position are taken")
+    epoch, block, position, src, key, cuts, reading, read = free(
+        docs.columns, "epoch", "block", "position", "src", "key", "cuts", "reading", "read"
+    )
     sources, blocks = plan(docs, evenness, repeat, budget, block_tokens)
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_BLOCKS else df
-    reads = blocks.groupBy("src", "block").agg(F.collect_list(F.struct("epoch", "position", "cutoff")).alias("__reads"))
-    keyed = docs.withColumns({"__src": _name(F.col("source")), "__key": _key(F.col("doc_id"), F.col("text"))})
-    keyed = keyed.join(few(sources.select(F.col("src").alias("__src"), F.col("blocks").alias("__blocks"))), "__src")
-    keyed = keyed.withColumn("block", F.pmod("__key", "__blocks"))
-    reads = few(reads.select(F.col("src").alias("__src"), "block", "__reads"))
-    own = F.filter("__reads", lambda r: r["cutoff"].isNull() | (F.col("__key") <= r["cutoff"]))
-    read = keyed.join(reads, ["__src", "block"]).withColumn("__read", F.explode(own))
-    return read.select(*docs.columns, F.col("__read.epoch").alias("epoch"), "block", F.col("__read.position").alias("position"))
+    reads = blocks.groupBy("src", "block").agg(F.collect_list(F.struct("epoch", "position", "cutoff")).alias("reads"))
+    keyed = docs.withColumns({src: _name(F.col("source")), key: _key(F.col("doc_id"), F.col("text"))})
+    keyed = keyed.join(few(sources.select(F.col("src").alias(src), F.col("blocks").alias(cuts))), src)
+    keyed = keyed.withColumn(block, F.pmod(F.col(key), F.col(cuts)))
+    reads = few(reads.select(F.col("src").alias(src), F.col("block").alias(block), F.col("reads").alias(reading)))
+    own = F.filter(reading, lambda r: r["cutoff"].isNull() | (F.col(key) <= r["cutoff"]))
+    told = keyed.join(reads, [src, block]).withColumn(read, F.explode(own))
+    return told.select(*columns_of(docs), F.col(read)["epoch"].alias(epoch), block, F.col(read)["position"].alias(position))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

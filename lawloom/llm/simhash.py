@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, table
+from .common import arrow_batches, columns_of, free, materialise, table
 from .components import connected_components
 
 SEED = 42
@@ -182,9 +182,10 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
         .select("doc_id")
         .distinct()
     )
+    (by_text,) = free(docs.columns, "by_text")
     no_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    return kept.withColumn("__text", no_id).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    kept = docs.join(lost, "doc_id", "left_anti").select(*columns_of(docs), no_id.alias(by_text))
+    return kept.dropDuplicates(["doc_id", by_text]).select(*columns_of(docs))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

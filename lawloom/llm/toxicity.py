@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, crc32_fold, materialise, table
+from .common import arrow_batches, crc32_fold, map_arrow, materialise, table
 from .learn import examples, labelled_sample, sigmoid
 
 #: Examples to learn from at most, half of them toxic.
@@ -243,7 +243,7 @@ def reject_toxic(docs: DataFrame, model: SeverityModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.severity(t.as_py())[1] < REJECT for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,8 +184,6 @@ def test_mixing_odd_tables(spark, mixed):
     assert one.count() == 700 and one.where("epoch > 0").count() == 0
     doubled = mixed.where("source = 'tiny'").union(mixed.where("source = 'tiny'"))
     assert mixing.mix(doubled).count() == 40
-    with pytest.raises(ValueError, match="taken"):
-        mixing.mix(mixed.withColumn("epoch", F.lit(1)))
 
 
 def test_mixing_by_a_shuffled_join(mixed, monkeypatch):

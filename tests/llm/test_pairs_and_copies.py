@@ -223,6 +223,33 @@ def test_similar_lines_share_a_template(spark):
     assert dropped == 6
 
 
-def test_taken_names_are_refused(spark):
-    with pytest.raises(ValueError, match="taken"):
-        linededup.drop_lines(_docs(spark, ["a"]).withColumn("n_lines", F.lit(1)))
+def test_clashing_names(spark):
+    """Names that operators use inside, or add, may be there already; so may odd ones."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    names = ["N_LINES", "n_dropped", "fp", "component_id", "line", "keeper", "own_id", "own_lost", "by_text", "epoch", "block", "position",
+             "src", "key", "read", "toxic", "label", "words", "a.b", "x y"]
+    df = _docs(spark, [_words(rng, 30) for _ in range(5)] + [None, ""])
+    df = df.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    bench = spark.createDataFrame([(1, _words(rng, 30))], "item_id long, text string")
+    for send in (9, 0):
+        assert linededup.drop_lines(df, broadcast_lines=send).columns == [*df.columns, "n_lines_", "n_dropped_"]
+    assert simhash.near_duplicates(df).count() == 7
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == 6
+    assert decontaminate.drop_leaks(df, bench).columns == df.columns
+    mixed = corpus_pipeline.mixing_stage(spark, df, "")
+    assert mixed.columns == [*df.columns, "epoch_", "block_", "position_"] and mixed.count() == 7
+    assert corpus_pipeline.line_dedup_stage(spark, df, "").columns == df.columns
+
+
+def test_written_tables_can_be_discarded(spark):
+    from lawloom.llm import common
+
+    common.discard(spark)
+    df = common.materialise(spark.range(5), "some-table")
+    assert df.count() == 5
+    assert common.discard(spark) == 1
+    with pytest.raises(Exception, match="(?i)does not exist|not exist|not found"):
+        spark.read.parquet(df.inputFiles()[0]).count()
