@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, crc32_fold, table
-from .learn import examples, labelled_sample
+from .learn import labelled_sample
 
 #: Examples to learn from at most, shared evenly by the languages.
 SAMPLE = 4000
@@ -142,9 +142,12 @@ def train(
 
 
 def fit_language_model(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from ``text`` and ``lang`` of a bounded, hash-chosen sample of ``docs``."""
-    labels = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
-    chosen, _ = labelled_sample(labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label")), sample)
+    """Learn from ``text`` and ``lang`` of a bounded, hash-chosen sample of ``docs``; each row is its own example."""
+    arrow_batches(docs.sparkSession)
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label")
+    )
+    chosen, _ = labelled_sample(own, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +157,7 @@ def fit_language_model(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
                 names=["doc_id", "buckets", "counts", "label"],
             )
 
-    got = examples(docs, chosen).mapInArrow(run, "doc_id long, buckets array<int>, counts array<int>, label string").toArrow()
+    got = chosen.mapInArrow(run, "doc_id long, buckets array<int>, counts array<int>, label string").toArrow()
     rows = sorted(
         zip(got["doc_id"].to_pylist(), map(lambda x: x.values.to_numpy(), got["buckets"]), map(lambda x: x.values.to_numpy(), got["counts"]), got["label"].to_pylist(), strict=True),
         key=lambda r: (r[0], r[3], len(r[1]), int(r[2].sum())),
@@ -186,7 +189,6 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose fold is not 0."""
     docs = table(spark, sf_dir, "documents")
-    arrow_batches(spark)
     model = fit_language_model(docs.where(crc32_fold(F.col("doc_id")) != 0))
     return predict_language(docs, model).select(
         "doc_id", (crc32_fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score"
