@@ -176,12 +176,12 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Repeated rows of one id count once.  Rows without an id stay, once per text.
     """
-    lost = (
-        near_duplicates(docs, width)
-        .where("doc_id is not null and doc_id <> component_id")
-        .select("doc_id")
-        .distinct()
-    )
+    return keep_least(docs, near_duplicates(docs, width))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` without those whose ``doc_id`` is not their ``component_id`` in ``groups``."""
+    lost = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     (by_text,) = free(docs.columns, "by_text")
     no_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     kept = docs.join(lost, "doc_id", "left_anti").select(*columns_of(docs), no_id.alias(by_text))
