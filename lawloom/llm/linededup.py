@@ -10,7 +10,8 @@ Inside a leaf no two lines are compared pair by pair.  A line of n tokens may
 differ in k = n/5 positions, so the tokens behind the leading ones are cut into
 k + 1 segments, of which two lines of one template share at least one.  Lines
 that share a segment meet at its most frequent line, and are linked to it if
-similar enough; linked lines form a template.  Lines are counted per distinct
+similar enough; further heads link what the first leaves apart (see
+``meeting``); linked lines form a template.  Lines are counted per distinct
 document text, so exact copies of a document do not make its lines recurring.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_batches, columns_of, free, map_arrow, materialise, table
-from .components import connected_components
+from .meeting import components_inside
 
 LEAST_TOKENS = 5
 LEADING = 3
@@ -134,14 +135,15 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
 
     cut = members.select("leaf", "line", "support", F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), segment)).alias("seg"))
     cut = cut.select("leaf", "line", "support", "seg.s", "seg.h")
-    heads = cut.groupBy("leaf", "s", "h").agg(F.max(F.struct("support", "line")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = cut.join(heads.drop("n"), ["leaf", "s", "h"]).where(F.col("line") != F.col("head.line"))
-    met = met.select(F.col("line").alias("u"), F.col("head.line").alias("v")).distinct()
+    entries = cut.select(F.xxhash64("leaf", "s", "h").alias("slot"), F.col("line").alias("node"), F.col("support").alias("weight"))
     words = members.select("line", "tokens")
-    both = met.join(words.toDF("u", "a"), "u").join(words.toDF("v", "b"), "v")
-    near = F.size(F.filter(F.zip_with("a", "b", lambda a, b: a == b), lambda same: same))
-    linked = both.where(near >= F.ceil(F.size("a") * SIMILAR - 1e-9)).select("u", "v")
-    roots = connected_components(linked).select(F.col("node").alias("line"), F.col("root").alias("template"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(words.toDF("u", "a"), "u").join(words.toDF("v", "b"), "v")
+        equal = F.size(F.filter(F.zip_with("a", "b", lambda a, b: a == b), lambda same: same))
+        return both.where((F.size("a") == F.size("b")) & (equal >= F.ceil(F.size("a") * SIMILAR - 1e-9))).select("u", "v")
+
+    roots = components_inside(materialise(entries, "lines-slots"), near).select(F.col("node").alias("line"), F.col("root").alias("template"))
     named = members.select("line").join(roots, "line", "left").select("line", F.coalesce("template", "line").alias("template"))
     named = materialise(named, "lines-templates")
     counted = (

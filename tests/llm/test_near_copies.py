@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lawloom.llm import meeting, nearcopies
+from lawloom.llm import linededup, meeting, nearcopies
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -91,3 +91,18 @@ def test_components_inside_are_those_of_all_pairs(spark, rounds, most):
     near = lambda df: df.where("u % 7 = v % 7 and v - u <= 28")
     got = {r["node"]: r["root"] for r in meeting.components_inside(table, near, rounds, most).collect()}
     assert got == {n: r for n, r in roots.items() if n in {x for p in pairs for x in p}}
+
+
+def _lined(rng, lines):
+    own = [" ".join(_word(rng.randrange(10**6)) for _ in range(12)) for _ in range(2)]
+    return "\n".join([own[0], *lines, own[1]])
+
+
+def test_two_templates_that_share_a_leaf_and_a_segment(spark):
+    """A frequent line must not hide the lines that are unlike it."""
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(32)]
+    texts = [_lined(rng, ["Please read the full terms of our online shop"]) for _ in range(10)]
+    texts += [_lined(rng, [f"Please read the full terms of use by {n}"]) for n in names]
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_lines(_docs(spark, texts)).collect()}
+    assert got == {i: int(i not in (0, 10)) for i in range(42)}
