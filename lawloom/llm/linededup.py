@@ -3,8 +3,8 @@
 The tree has a fixed depth: a line's token count, then its leading tokens
 (tokens with a digit count as the wildcard).  Lines that reach one leaf and
 agree in enough positions share a template, in which the positions where they
-differ are variable.  Templates that recur in many different documents are
-dropped from all of them but the first.
+differ are variable.  Templates that recur in many different documents (in two
+for lines of 50 tokens or more) are dropped from all of them but the first.
 
 Inside a leaf no two lines are compared pair by pair.  A line of n tokens may
 differ in k = n/5 positions, so the tokens behind the leading ones are cut into
@@ -34,6 +34,8 @@ LEADING = 3
 SIMILAR = 0.8
 #: Different document texts a template must be in to be dropped.
 RECURRING = 5
+#: Lines of so many tokens are passages; two different document texts are enough for them.
+LONG, LONG_RECURRING = 50, 2
 #: Dropped lines are sent to all executors up to this count (16 bytes each); beyond it the texts are joined.
 BROADCAST_LINES = 400_000
 #: Ids of documents whose lines must be read again are sent to all executors up to this count.
@@ -72,18 +74,19 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, keys, leaves, lines = [], [], [], []
+        counts, keys, leaves, lines, sizes = [], [], [], [], []
         for raw in batch.column(1):
             raw = raw.as_py()
-            found = {keys_of(t) for t in masked_lines(raw) if is_template(t)}
+            found = {(*keys_of(t), len(t) >= LONG) for t in masked_lines(raw) if is_template(t)}
             counts.append(len(found))
             keys.append(_hash(raw))
-            for leaf, line in found:
+            for leaf, line, long in found:
                 leaves.append(leaf)
                 lines.append(line)
+                sizes.append(long)
         row = np.repeat(np.arange(len(counts)), counts)
         ids = batch.column(0).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([ids, _signed(keys).take(pa.array(row)), _signed(leaves), _signed(lines)], names=["doc_id", "text_key", "leaf", "line"])
+        yield pa.RecordBatch.from_arrays([ids, _signed(keys).take(pa.array(row)), _signed(leaves), _signed(lines), pa.array(sizes, pa.bool_())], names=["doc_id", "text_key", "leaf", "line", "long"])
 
 
 def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, DataFrame]:
@@ -94,14 +97,15 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
     spark = docs.sparkSession
     arrow_batches(spark)
     narrow = _narrow(docs)
-    seen = materialise(narrow.mapInArrow(_occurrences, "doc_id long, text_key long, leaf long, line long"), "lines-occurrences")
+    enough = F.col("support") >= F.when(F.col("long"), min(recurring, LONG_RECURRING)).otherwise(recurring)
+    seen = materialise(narrow.mapInArrow(_occurrences, "doc_id long, text_key long, leaf long, line long, long boolean"), "lines-occurrences")
     lines = materialise(
-        seen.groupBy("leaf", "line").agg(F.count_distinct("text_key").alias("support"), F.min("doc_id").alias("keeper")), "lines-distinct"
+        seen.groupBy("leaf", "line", "long").agg(F.count_distinct("text_key").alias("support"), F.min("doc_id").alias("keeper")), "lines-distinct"
     )
-    leaves = lines.groupBy("leaf").agg(F.sum("support").alias("support"), F.count("*").alias("lines"))
+    leaves = lines.groupBy("leaf", "long").agg(F.sum("support").alias("support"), F.count("*").alias("lines"))
     # A leaf bounds the support of its templates; one with a single line needs no comparison.
-    crowded = materialise(leaves.where((F.col("support") >= recurring) & (F.col("lines") > 1)).select("leaf"), "lines-leaves")
-    alone = leaves.where((F.col("support") >= recurring) & (F.col("lines") == 1)).select("leaf")
+    crowded = materialise(leaves.where(enough & (F.col("lines") > 1)).select("leaf"), "lines-leaves")
+    alone = leaves.where(enough & (F.col("lines") == 1)).select("leaf")
     single = lines.join(alone, "leaf", "left_semi").select("line", "keeper")
 
     # The words of such lines are read again where they occur first.
@@ -148,9 +152,9 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
     named = materialise(named, "lines-templates")
     counted = (
         seen.join(named, "line")
-        .groupBy("template")
+        .groupBy("template", "long")
         .agg(F.count_distinct("text_key").alias("support"), F.min("doc_id").alias("keeper"))
-        .where(F.col("support") >= recurring)
+        .where(enough)
     )
     grouped = named.join(counted, "template").select("line", "keeper")
     return seen, materialise(single.union(grouped), "lines-dropped")

@@ -106,3 +106,18 @@ def test_two_templates_that_share_a_leaf_and_a_segment(spark):
     texts += [_lined(rng, [f"Please read the full terms of use by {n}"]) for n in names]
     got = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_lines(_docs(spark, texts)).collect()}
     assert got == {i: int(i not in (0, 10)) for i in range(42)}
+
+
+@pytest.mark.parametrize("send", [9, 0])
+def test_long_lines_are_dropped_from_the_second_document_on(spark, send):
+    rng = random.Random(6)
+    long, longer, short = ([_word(rng.randrange(5000)) for _ in range(n)] for n in (50, 70, 49))
+    near = list(longer)
+    near[30:44] = [_word(rng.randrange(5000)) for _ in range(14)]  # 56 of 70 places agree
+    far = list(long)
+    far[20:31] = [_word(rng.randrange(5000)) for _ in range(11)]  # 39 of 50 do
+    texts = [_lined(rng, [" ".join(x) for x in lines]) for lines in ((long, short), (long, short), (longer,), (near,), (far, short), (short,))]
+    texts.append(texts[4])  # an exact copy adds no support
+    out = {r["doc_id"]: r for r in linededup.drop_lines(_docs(spark, texts), broadcast_lines=send).collect()}
+    assert [out[i]["n_dropped"] for i in range(7)] == [0, 1, 0, 1, 0, 0, 0]
+    assert " ".join(long) not in out[1]["text"] and " ".join(short) in out[1]["text"]
