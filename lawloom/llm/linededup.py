@@ -147,7 +147,7 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
         equal = F.size(F.filter(F.zip_with("a", "b", lambda a, b: a == b), lambda same: same))
         return both.where((F.size("a") == F.size("b")) & (equal >= F.ceil(F.size("a") * SIMILAR - 1e-9))).select("u", "v")
 
-    roots = components_inside(materialise(entries, "lines-slots"), near).select(F.col("node").alias("line"), F.col("root").alias("template"))
+    roots = components_inside(entries, near).select(F.col("node").alias("line"), F.col("root").alias("template"))
     named = members.select("line").join(roots, "line", "left").select("line", F.coalesce("template", "line").alias("template"))
     named = materialise(named, "lines-templates")
     counted = (

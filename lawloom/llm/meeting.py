@@ -40,24 +40,24 @@ def components_inside(entries: DataFrame, near: Callable[[DataFrame], DataFrame]
         heads = heads.where("n > 1").select("slot", F.col("head.node").alias("head"), F.col("head.root").alias("head_root"))
         met = materialise(left.join(heads, "slot").where("node <> head"), "meeting-met")
         pairs = met.where("root <> head_root").select(F.col("node").alias("a"), F.col("head").alias("b")).select(*pair).distinct()
-        found = materialise(near(pairs), "meeting-links")
-        links = found if links is None else links.union(found)
-        roots = materialise(connected_components(links), "meeting-roots")
+        found = near(pairs)
+        roots = connected_components(found if links is None else links.union(found))
+        links = roots.toDF("u", "v")
         own, head = roots.toDF("node", "now"), roots.toDF("head", "head_now")
         left = met.join(own, "node", "left").join(head, "head", "left").select(
             "slot", "node", "weight", F.coalesce("now", "node").alias("root"), F.coalesce("head_now", "head").alias("head_root"), "reached"
         )
         left = left.select("slot", "node", "weight", (F.col("reached") | (F.col("root") == F.col("head_root"))).alias("reached"), "root")
         open_slots = left.groupBy("slot").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("slot")
-        left = materialise(left.join(open_slots, "slot", "left_semi"), "meeting-left")
         held = left.groupBy("slot", "root").agg(F.count("*").alias("c"))
         sums = held.groupBy("slot").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
         still = sums.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        n_entries = n_entries or entries.count()
         if not still:
             return roots
+        left = materialise(left.join(open_slots, "slot", "left_semi"), "meeting-left")
+        n_entries = n_entries or entries.count()
         if still <= most * n_entries:
             break
     one, two = left.select("slot", F.col("node").alias("a"), F.col("root").alias("p")), left.select("slot", F.col("node").alias("b"), F.col("root").alias("q"))
     pairs = one.join(two, "slot").where("p < q").select(*pair).distinct()
-    return connected_components(links.union(materialise(near(pairs), "meeting-links")))
+    return connected_components(links.union(near(pairs)))
