@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,33 @@ from .components import connected_components
 
 #: Rounds of heads before all open pairs are compared.
 ROUNDS = 6
+#: Up to so many links (16 bytes each) are joined on the driver; more of them by distributed rounds.
+FEW_LINKS = 100_000
 #: Open pairs for each entry, up to which they are compared at once.
 OPEN = 8
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """As ``connected_components``; few links need no rounds."""
+    links = materialise(links, "meeting-links")
+    if links.count() > FEW_LINKS:
+        return connected_components(links)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in links.toPandas().itertuples(index=False):
+        u, v = find(u), find(v)
+        root[max(u, v)] = min(u, v)
+    found = pd.DataFrame([(x, find(x)) for x in list(root)], columns=["node", "root"], dtype="int64")
+    return links.sparkSession.createDataFrame(found, "node long, root long")
+
+
 def components_inside(entries: DataFrame, near: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, most: int = OPEN) -> DataFrame:
     """``entries(slot, node, weight)`` to ``(node, root)``; nodes without a link do not appear.
 
@@ -41,7 +65,7 @@ def components_inside(entries: DataFrame, near: Callable[[DataFrame], DataFrame]
         met = materialise(left.join(heads, "slot").where("node <> head"), "meeting-met")
         pairs = met.where("root <> head_root").select(F.col("node").alias("a"), F.col("head").alias("b")).select(*pair).distinct()
         found = near(pairs)
-        roots = connected_components(found if links is None else links.union(found))
+        roots = _components(found if links is None else links.union(found))
         links = roots.toDF("u", "v")
         own, head = roots.toDF("node", "now"), roots.toDF("head", "head_now")
         left = met.join(own, "node", "left").join(head, "head", "left").select(
@@ -60,4 +84,4 @@ def components_inside(entries: DataFrame, near: Callable[[DataFrame], DataFrame]
             break
     one, two = left.select("slot", F.col("node").alias("a"), F.col("root").alias("p")), left.select("slot", F.col("node").alias("b"), F.col("root").alias("q"))
     pairs = one.join(two, "slot").where("p < q").select(*pair).distinct()
-    return connected_components(links.union(near(pairs)))
+    return _components(links.union(near(pairs)))

@@ -80,8 +80,9 @@ def test_near_copies_rows_without_ids_and_empty_tables(spark):
     assert nearcopies.keep_one(_docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("rounds, most", [(1, 0), (2, 0), (6, 0), (6, 10**9)])
-def test_components_inside_are_those_of_all_pairs(spark, rounds, most):
+@pytest.mark.parametrize("rounds, most, few", [(1, 0, 9999), (6, 0, 9999), (6, 10**9, 9999), (2, 0, 0)])
+def test_components_inside_are_those_of_all_pairs(spark, monkeypatch, rounds, most, few):
+    monkeypatch.setattr(meeting, "FEW_LINKS", few)
     rng = random.Random(8)
     entries = sorted({(rng.randrange(6), rng.randrange(150)) for _ in range(250)})
     like = lambda u, v: u % 7 == v % 7 and abs(u - v) <= 28
