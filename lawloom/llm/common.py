@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 from ..shipping import ship
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: A sieve has so many words of 64 bits at most: 16 MB, whatever it is made of.
+SIEVE_WORDS = 1 << 20
 _written: dict[str, list[str]] = {}
 
 
@@ -24,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    Only where the session names none (tests, notebooks) a folder of this
-    machine is set instead.
+    Only where the session names none and runs on this machine alone (tests,
+    notebooks) a folder of this machine is set instead.
     """
     named = spark.sparkContext.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lawloom-")
         spark.conf.set(CHECKPOINT_DIR, named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -71,6 +76,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _spot(keys: list[F.Column]) -> F.Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SIEVE_WORDS * 64))
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """``(word, bits)``: a bit for each row of ``keys``, placed by the hash of its columns.
+
+    SIEVE_WORDS rows at most, so it can be broadcast whatever the number of
+    keys; with very many of them it lets more rows pass that are no keys.
+    """
+    spots = keys.select(_spot(columns_of(keys)).alias("at"))
+    bits = spots.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    return bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def sifted(df: DataFrame, keys: list[F.Column], words: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` that may be among the keys of a sieve (all keys, few others), or those that surely are not."""
+    at, word, bits = free(df.columns, "at", "word", "bits")
+    held = df.withColumn(at, _spot(keys)).join(F.broadcast(words.toDF(word, bits)), F.shiftright(at, 6) == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned({bits}, cast({at} & 63 as int)) & 1 = 1"), F.lit(False))
+    return held.where(hit if inside else ~hit).select(*columns_of(df))
+
+
 def discard(spark: SparkSession) -> int:
     """Delete the tables this application wrote to the shared folder, when no result that reads them is needed any more."""
     paths = _written.pop(spark.sparkContext.applicationId, [])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, columns_of, free, map_arrow, materialise, table
+from .common import arrow_batches, columns_of, free, map_arrow, materialise, sieve, sifted, table
 from .meeting import components_inside
 
 LEAST_TOKENS = 5
@@ -38,8 +38,6 @@ RECURRING = 5
 LONG, LONG_RECURRING = 50, 2
 #: Dropped lines are sent to all executors up to this count (16 bytes each); beyond it the texts are joined.
 BROADCAST_LINES = 400_000
-#: Ids of documents whose lines must be read again are sent to all executors up to this count.
-BROADCAST_IDS = 200_000
 WILD = b"<*>"
 _DIGITS = b"0123456789"
 _hash = xxhash.xxh64_intdigest
@@ -63,6 +61,11 @@ def keys_of(tokens: list[bytes]) -> tuple[int, int]:
     return _hash(b"%d " % len(tokens) + b" ".join(tokens[:LEADING])), _hash(b" ".join(tokens))
 
 
+def needed(a: F.Column, b: F.Column) -> F.Column:
+    """Places in which lines of ``a`` and ``b`` tokens agree at least if they share a template: SIMILAR of them, in whole numbers."""
+    return F.ceil(F.greatest(a, b) * F.lit(round(100 * SIMILAR)) / 100).cast("int")
+
+
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -110,9 +113,7 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
 
     # The words of such lines are read again where they occur first.
     wanted = materialise(lines.join(crowded, "leaf", "left_semi").select("leaf", "line", "support", "keeper"), "lines-wanted")
-    first = wanted.select(F.col("keeper").alias("id")).distinct()
-    few = first.count() <= BROADCAST_IDS
-    again = narrow.join(F.broadcast(first) if few else first, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    again = sifted(narrow, [F.col("doc_id")], sieve(wanted.select("keeper").distinct()))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,20 +139,17 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
         return F.struct(s.alias("s"), F.xxhash64(F.slice("tokens", a + LEADING + 1, b - a)).alias("h"))
 
     cut = members.select("leaf", "line", "support", F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), segment)).alias("seg"))
-    cut = cut.select("leaf", "line", "support", "seg.s", "seg.h")
-    entries = cut.select(F.xxhash64("leaf", "s", "h").alias("slot"), F.col("line").alias("node"), F.col("support").alias("weight"))
-    words = members.select("line", "tokens")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(words.toDF("u", "a"), "u").join(words.toDF("v", "b"), "v")
-        equal = F.size(F.filter(F.zip_with("a", "b", lambda a, b: a == b), lambda same: same))
-        return both.where((F.size("a") == F.size("b")) & (equal >= F.ceil(F.size("a") * SIMILAR - 1e-9))).select("u", "v")
-
-    roots = components_inside(entries, near).select(F.col("node").alias("line"), F.col("root").alias("template"))
+    entries = cut.select(F.xxhash64("leaf", "seg.s", "seg.h").alias("slot"), F.col("line").alias("node"), F.col("support").alias("weight"))
+    shared = entries.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot")
+    entries = materialise(entries.join(materialise(shared, "lines-shared"), "slot", "left_semi"), "lines-entries")
+    places = F.transform("tokens", lambda token, at: F.xxhash64("leaf", at, token))
+    sets = materialise(members.select(F.col("line").alias("node"), places.alias("own")), "lines-places")
+    roots = components_inside(entries, sets, needed).select(F.col("node").alias("line"), F.col("root").alias("template"))
     named = members.select("line").join(roots, "line", "left").select("line", F.coalesce("template", "line").alias("template"))
     named = materialise(named, "lines-templates")
     counted = (
-        seen.join(named, "line")
+        sifted(seen, [F.col("line")], sieve(named.select("line")))
+        .join(named, "line")
         .groupBy("template", "long")
         .agg(F.count_distinct("text_key").alias("support"), F.min("doc_id").alias("keeper"))
         .where(enough)

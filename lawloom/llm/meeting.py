@@ -1,19 +1,30 @@
-"""Components over all similar pairs that share a slot, without comparing every pair.
-
-In each slot all members are compared with one head; what a head has been
-compared with needs it no more, so it leaves the slot.  A slot whose members
-are all connected has nothing left to tell.  The next head is a member that no
-head reached.  When few pairs are left open, or after some rounds, all pairs of
-members that are not connected yet are compared.  So every pair of a slot is
-compared or connected already: the components are those of all pairs.
+"""Components over all similar pairs of sets that share a slot, without comparing every pair.
+
+First, all members of a slot are compared with one head.  A slot whose other
+members are all connected then has nothing left to tell.  The members of the
+others may still be similar to each other, and a large group of copies leaves
+many such pairs, nearly all in vain.  An exact prefix filter finds those that
+can be similar: an element that no other such member has is in no overlap, so
+a member with too many of those leaves; the others' elements are put in order
+of frequency, and two similar sets share one of their rarest, at places that
+leave enough elements behind them.  A member outside the main component of its
+slot is not similar to the head, so its rarest elements are mostly not the
+head's, and few others have them.  Members that share such an element are a
+slot again.  If its pairs are few for the number of entries they are compared,
+else heads are taken once more, and so on.
+
+What is joined to many rows of one key is a table by then, so that adaptive
+execution can split those rows over tasks.
+
+So every pair of a slot is compared, connected already, or shown to be unlike:
+the components are those of all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -21,67 +32,95 @@ from .components import connected_components
 
 #: Rounds of heads before all open pairs are compared.
 ROUNDS = 6
-#: Up to so many links (16 bytes each) are joined on the driver; more of them by distributed rounds.
-FEW_LINKS = 100_000
 #: Open pairs for each entry, up to which they are compared at once.
-OPEN = 8
+OPEN = 4
+
+Needed = Callable[[Column, Column], Column]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, needed: Needed) -> DataFrame:
+    """Those of the ``pairs(u, v)`` that have the needed overlap."""
+    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+    need = needed(F.size("x"), F.size("y"))
+    both = both.where(F.least(F.size("x"), F.size("y")) >= need)
+    return both.where(F.size(F.array_intersect("x", "y")) >= need).select("u", "v")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """As ``connected_components``; few links need no rounds."""
-    links = materialise(links, "meeting-links")
-    if links.count() > FEW_LINKS:
-        return connected_components(links)
-    root: dict[int, int] = {}
+def _ordered(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
-    def find(x: int) -> int:
-        root.setdefault(x, x)
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for u, v in links.toPandas().itertuples(index=False):
-        u, v = find(u), find(v)
-        root[max(u, v)] = min(u, v)
-    found = pd.DataFrame([(x, find(x)) for x in list(root)], columns=["node", "root"], dtype="int64")
-    return links.sparkSession.createDataFrame(found, "node long, root long")
+def _open_nodes(left: DataFrame) -> DataFrame:
+    """``(node, root, minor)`` of the members of open slots, those with two roots without the head.
+
+    A member is ``minor`` if it is outside the main root of such a slot; every open pair has one.
+    """
+    by_root = left.groupBy("slot", "root").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("top"))
+    slots = by_root.groupBy("slot").agg(
+        F.count("*").alias("roots"), F.max(F.struct("top", "n")).alias("head"), F.max(F.struct("n", "root")).alias("main")
+    )
+    slots = slots.where(F.col("roots") - (F.col("head.n") == 1).cast("int") > 1).select("slot", F.col("main.root").alias("main"))
+    held = left.join(materialise(slots, "meeting-slots"), "slot").select("node", "root", (F.col("root") != F.col("main")).alias("minor"))
+    return held.groupBy("node", "root").agg(F.max("minor").alias("minor"))
+
+
+def _refined(nodes: DataFrame, sets: DataFrame, needed: Needed) -> DataFrame:
+    """``slot, node, root, size, rest, minor``: slots, each an element, in which all open pairs with the needed overlap meet.
+
+    Of the elements two sets share take the first in the order of frequency.
+    Both have at least the needed overlap left from there on (``rest``), so a
+    minor one is placed only where that can be.  Others are placed where a
+    minor one is.
+    """
+    told = materialise(nodes, "meeting-open").join(sets, "node")
+    told = materialise(told.select("node", "root", "minor", F.size("own").alias("size"), F.explode("own").alias("slot")), "meeting-elements")
+    common = told.groupBy("slot").agg(F.count("*").alias("df"), F.max("minor").alias("minors"), F.min("size").alias("smallest"))
+    common = materialise(common.where("df > 1 and minors").drop("minors"), "meeting-common")
+    own = told.where("minor").join(common, "slot").groupBy("node", "root", "size")
+    own = own.agg(F.sort_array(F.collect_list(F.struct("df", "slot", "smallest"))).alias("own"))
+    held, least = F.size("own"), needed(F.col("size"), F.lit(0))
+    own = own.where(held >= least).select("node", "root", "size", held.alias("held"), F.posexplode(F.slice("own", F.lit(1), held - least + 1)))
+    own = own.withColumn("rest", F.col("held") - F.col("pos")).where(F.col("rest") >= needed(F.col("size"), F.col("col.smallest")))
+    placed = materialise(own.select(F.col("col.slot").alias("slot"), "node", "root", "size", "rest", F.lit(True).alias("minor")), "meeting-prefixes")
+    wanted = materialise(placed.select("slot").distinct(), "meeting-wanted")
+    others = told.where("not minor").join(wanted, "slot", "left_semi")
+    every = placed.union(others.select("slot", "node", "root", "size", F.col("size").alias("rest"), "minor"))
+    every = materialise(every, "meeting-placed")
+    mixed = every.groupBy("slot").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("slot")
+    return every.join(materialise(mixed, "meeting-mixed"), "slot", "left_semi")
 
 
-def components_inside(entries: DataFrame, near: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, most: int = OPEN) -> DataFrame:
+def components_inside(entries: DataFrame, sets: DataFrame, needed: Needed, rounds: int = ROUNDS, most: int = OPEN) -> DataFrame:
     """``entries(slot, node, weight)`` to ``(node, root)``; nodes without a link do not appear.
 
-    ``near`` keeps the similar ones of the pairs ``(u, v)``, u < v, it is given.
-    Among members no head reached, those of greater weight become heads first.
+    ``sets(node, own)`` has each node's elements, distinct longs.  Nodes u and
+    v are similar if they share ``needed(size of u, size of v)`` elements at
+    least; it must not fall when a size grows.  The heaviest member is a
+    slot's head.  ``rounds`` of heads at most; ``most`` open pairs for each
+    entry are compared at once.
     """
-    pair = (F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    left = entries.select("slot", "node", "weight", F.lit(False).alias("reached"), F.col("node").alias("root"))
+    left = entries.select("slot", "node", "weight", F.col("node").alias("root"))
     links, n_entries = None, None
     for turn in range(rounds):
-        heads = left.groupBy("slot").agg(
-            F.max(F.struct(~F.col("reached"), "weight", "node", "root")).alias("head"), F.count("*").alias("n")
-        )
+        heads = left.groupBy("slot").agg(F.max(F.struct("weight", "node", "root")).alias("head"), F.count("*").alias("n"))
         heads = heads.where("n > 1").select("slot", F.col("head.node").alias("head"), F.col("head.root").alias("head_root"))
-        met = materialise(left.join(heads, "slot").where("node <> head"), "meeting-met")
-        pairs = met.where("root <> head_root").select(F.col("node").alias("a"), F.col("head").alias("b")).select(*pair).distinct()
-        found = near(pairs)
-        roots = _components(found if links is None else links.union(found))
+        heads = materialise(heads, "meeting-heads")  # so that large slots can be split over tasks
+        pairs = left.join(heads, "slot").where("root <> head_root").select(*_ordered("node", "head")).distinct()
+        found = _verified(pairs, sets, needed)
+        roots = connected_components(found if links is None else links.union(found))
         links = roots.toDF("u", "v")
-        own, head = roots.toDF("node", "now"), roots.toDF("head", "head_now")
-        left = met.join(own, "node", "left").join(head, "head", "left").select(
-            "slot", "node", "weight", F.coalesce("now", "node").alias("root"), F.coalesce("head_now", "head").alias("head_root"), "reached"
-        )
-        left = left.select("slot", "node", "weight", (F.col("reached") | (F.col("root") == F.col("head_root"))).alias("reached"), "root")
-        open_slots = left.groupBy("slot").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("slot")
-        held = left.groupBy("slot", "root").agg(F.count("*").alias("c"))
-        sums = held.groupBy("slot").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        still = sums.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+        left = left.drop("root").join(roots, "node", "left").select("slot", "node", "weight", F.coalesce("root", "node").alias("root"))
+        refined = materialise(_refined(_open_nodes(left), sets, needed), "meeting-refined")
+        groups = refined.groupBy("slot", "root").agg(F.count("*").alias("c")).groupBy("slot")
+        groups = groups.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        still = groups.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
         if not still:
             return roots
-        left = materialise(left.join(open_slots, "slot", "left_semi"), "meeting-left")
         n_entries = n_entries or entries.count()
-        if still <= most * n_entries:
+        if still <= most * n_entries or turn + 1 == rounds:
             break
-    one, two = left.select("slot", F.col("node").alias("a"), F.col("root").alias("p")), left.select("slot", F.col("node").alias("b"), F.col("root").alias("q"))
-    pairs = one.join(two, "slot").where("p < q").select(*pair).distinct()
-    return _components(links.union(near(pairs)))
+        left = refined.select("slot", "node", F.xxhash64("node", F.lit(turn)).alias("weight"), "root")  # other heads each time
+    one = refined.where("minor").toDF("slot", "a", "p", "n", "i", "minor").drop("minor")
+    two = refined.toDF("slot", "b", "q", "m", "j", "minor")
+    pairs = one.join(two, "slot").where("p <> q and (not minor or a < b)").where(F.least("i", "j") >= needed(F.col("n"), F.col("m")))
+    return connected_components(links.union(_verified(pairs.select(*_ordered("a", "b")).distinct(), sets, needed)))

@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, columns_of, free, materialise, table
+from .common import arrow_batches, materialise, table
 from .components import connected_components
+from .keeping import keep_least, text_key
 
 SEED = 42
 RADIUS = 3
@@ -54,20 +55,19 @@ def fingerprint(text: str | None, width: int = 3) -> bytes:
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join(fingerprint(x.as_py(), width) for x in batch.column(1))
+            raw = b"".join(fingerprint(x.as_py(), width) for x in batch.column(2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "fp"]
+                [batch.column(0), batch.column(1), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "text_key", "fp"]
             )
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row of ``docs``; a null text counts as empty."""
+    """``(doc_id, text_key, fp)`` per row of ``docs``; a null text counts as empty."""
     arrow_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprints(width), "doc_id long, fp long"
-    )
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(_fingerprints(width), "doc_id long, text_key long, fp long")
 
 
 def _half(fp: F.Column, seg: int) -> F.Column:
@@ -151,6 +151,15 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.union(starred).distinct()
 
 
+def _grouped(docs: DataFrame, width: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_key, fp)`` per row of ``docs``, and ``(fp, least_id, root)`` per fingerprint."""
+    fps = materialise(fingerprints(docs, width), "simhash-fingerprints")
+    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
+    roots = connected_components(links(classes.select("fp"), hot))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return fps, rooted.select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fp, component_id``.
 
@@ -159,33 +168,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot: int = HOT) -> DataFram
     fingerprint zero and link like any other.  Repeated rows stay repeated; a
     null ``doc_id`` takes part, and is a component's id only if no other is
     there.  Extra columns are ignored; an empty table gives an empty result.
+    Of a very long text eight bytes per shingle are held at once.
     """
-    fps = materialise(fingerprints(docs, width), "simhash-fingerprints")
-    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
-    roots = connected_components(links(classes.select("fp"), hot))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
+    fps, rooted = _grouped(docs, width, hot)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id.
-
-    Repeated rows of one id count once.  Rows without an id stay, once per text.
-    """
-    return keep_least(docs, near_duplicates(docs, width))
-
-
-def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` without those whose ``doc_id`` is not their ``component_id`` in ``groups``."""
-    lost = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    (by_text,) = free(docs.columns, "by_text")
-    no_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    kept = docs.join(lost, "doc_id", "left_anti").select(*columns_of(docs), no_id.alias(by_text))
-    return kept.dropDuplicates(["doc_id", by_text]).select(*columns_of(docs))
+    """``docs`` with one document of each group, the one with the smallest id (see ``keep_least``)."""
+    fps, rooted = _grouped(docs, width)
+    rows = fps.join(rooted.select("fp", F.col("root").alias("grp")), "fp").select("doc_id", "text_key", "grp")
+    return keep_least(docs, materialise(rows, "simhash-rows"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

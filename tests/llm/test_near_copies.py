@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lawloom.llm import linededup, meeting, nearcopies
+from lawloom.llm import common, linededup, meeting, nearcopies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,20 +80,64 @@ def test_near_copies_rows_without_ids_and_empty_tables(spark):
     assert nearcopies.keep_one(_docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("rounds, most, few", [(1, 0, 9999), (6, 0, 9999), (6, 10**9, 9999), (2, 0, 0)])
-def test_components_inside_are_those_of_all_pairs(spark, monkeypatch, rounds, most, few):
-    monkeypatch.setattr(meeting, "FEW_LINKS", few)
-    rng = random.Random(8)
-    entries = sorted({(rng.randrange(6), rng.randrange(150)) for _ in range(250)})
-    like = lambda u, v: u % 7 == v % 7 and abs(u - v) <= 28
-    pairs = [(u, v) for s, u in entries for t, v in entries if s == t and u < v and like(u, v)]
-    roots = _least({n for _, n in entries}, pairs)
-    table = spark.createDataFrame([(s, n, n % 5) for s, n in entries], "slot long, node long, weight long")
-    near = lambda df: df.where("u % 7 = v % 7 and v - u <= 28")
-    got = {r["node"]: r["root"] for r in meeting.components_inside(table, near, rounds, most).collect()}
+@pytest.mark.parametrize("rounds, most, seed", [(1, 0, 0), (6, 0, 1), (6, 10**9, 2), (2, 0, 3)])
+def test_components_inside_are_those_of_all_pairs(spark, rounds, most, seed):
+    """Groups of sets around a few centres, at all distances from them, some elements common to all."""
+    rng = random.Random(seed)
+    sets = []
+    for centre in range(5):
+        base = [centre * 1000 + k for k in range(rng.randrange(12, 30))] + list(range(9000, 9000 + rng.randrange(8)))
+        for _ in range(24):
+            gone = rng.randrange(0, len(base) // 3)
+            own = set(rng.sample(base, len(base) - gone)) | {centre * 1000 + 500 + rng.randrange(60) for _ in range(rng.randrange(5))}
+            sets.append(own)
+    like = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if like(sets[i], sets[j])]
+    roots = _least(range(len(sets)), pairs)
+    assert len(pairs) > 20 and len(set(roots.values())) > 20
+    entries = spark.createDataFrame([(e, n, n % 5) for n, own in enumerate(sets) for e in own], "slot long, node long, weight long")
+    table = spark.createDataFrame([(n, sorted(own)) for n, own in enumerate(sets)], "node long, own array<long>")
+    got = {r["node"]: r["root"] for r in meeting.components_inside(entries, table, nearcopies.needed, rounds, most).collect()}
     assert got == {n: r for n, r in roots.items() if n in {x for p in pairs for x in p}}
 
 
+def test_needed_overlaps_are_whole_number_bounds(spark):
+    rows = spark.range(1, 200).select(F.col("id").cast("int").alias("a")).crossJoin(spark.range(0, 200).select(F.col("id").cast("int").alias("b")))
+    for r in rows.select("a", "b", nearcopies.needed(F.col("a"), F.col("b")).alias("jaccard"), linededup.needed(F.col("a"), F.col("b")).alias("places")).collect():
+        a, b = r["a"], r["b"]
+        most = max(a, b)
+        want = min(o for o in range(most + b + 1) if 5 * o >= 4 * (a + b - o) and 5 * o >= 4 * most)
+        assert r["jaccard"] == want and r["places"] == -(-4 * most // 5)
+
+
+def test_one_id_with_unlike_texts_loses_neither(spark):
+    rng = random.Random(15)
+    long = [" ".join(_word(rng.randrange(3000)) for _ in range(80)) for _ in range(4)]
+    near = long[0] + " tail"
+    #       two documents of id 1; a near copy of the first; a repeated row; rows without ids
+    texts = [long[0], long[1], near, long[2], long[2], long[3], long[3], long[1]]
+    ids = [1, 1, 2, 3, 3, None, None, None]
+    want = sorted([(1, long[0]), (1, long[1]), (3, long[2])]) + sorted([(None, long[3]), (None, long[1])], key=str)
+    for keep in (nearcopies.keep_one, simhash.keep_one):
+        got = [(r["doc_id"], r["text"]) for r in keep(_docs(spark, texts, ids)).collect()]
+        if keep is simhash.keep_one:  # the tail changes more than three bits, or not: both are texts of ids of their own
+            got = [g for g in got if g[0] != 2]
+        assert sorted((g for g in got if g[0]), key=str) + sorted((g for g in got if not g[0]), key=str) == want
+
+
+@pytest.mark.parametrize("words", [1 << 20, 1])
+def test_sieve_lets_all_keys_pass(spark, monkeypatch, words):
+    """A full sieve lets everything pass; an empty one nothing."""
+    monkeypatch.setattr(common, "SIEVE_WORDS", words)
+    df = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("word"), F.lit(1).alias("bits"))
+    keys = df.where("word % 3 = 0 or word is null").select("word")
+    inside = {r["word"] for r in common.sifted(df, [F.col("word")], common.sieve(keys)).collect()}
+    outside = {r["word"] for r in common.sifted(df, [F.col("word")], common.sieve(keys), inside=False).collect()}
+    assert not inside & outside and len(inside | outside) == 3000 and {None, 3, 2997} <= inside
+    assert len(inside) < 1100 if words > 1 else not outside
+    assert common.sifted(df, [F.col("word")], common.sieve(keys.where("false"))).count() == 0
+
+
 def _lined(rng, lines):
     own = [" ".join(_word(rng.randrange(10**6)) for _ in range(12)) for _ in range(2)]
     return "\n".join([own[0], *lines, own[1]])
