@@ -138,8 +138,8 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
         a, b = F.floor(rest * s / cuts).cast("int"), F.floor(rest * (s + 1) / cuts).cast("int")
         return F.struct(s.alias("s"), F.xxhash64(F.slice("tokens", a + LEADING + 1, b - a)).alias("h"))
 
-    cut = members.select("leaf", "line", "support", F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), segment)).alias("seg"))
-    entries = cut.select(F.xxhash64("leaf", "seg.s", "seg.h").alias("slot"), F.col("line").alias("node"), F.col("support").alias("weight"))
+    cut = members.select("leaf", "line", "support", n.alias("size"), F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), segment)).alias("seg"))
+    entries = cut.select(F.xxhash64("leaf", "seg.s", "seg.h").alias("slot"), F.col("line").alias("node"), F.col("support").alias("weight"), "size")
     shared = entries.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot")
     entries = materialise(entries.join(materialise(shared, "lines-shared"), "slot", "left_semi"), "lines-entries")
     places = F.transform("tokens", lambda token, at: F.xxhash64("leaf", at, token))

@@ -95,7 +95,7 @@ def test_components_inside_are_those_of_all_pairs(spark, rounds, most, seed):
     pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if like(sets[i], sets[j])]
     roots = _least(range(len(sets)), pairs)
     assert len(pairs) > 20 and len(set(roots.values())) > 20
-    entries = spark.createDataFrame([(e, n, n % 5) for n, own in enumerate(sets) for e in own], "slot long, node long, weight long")
+    entries = spark.createDataFrame([(e, n, n % 5, len(own)) for n, own in enumerate(sets) for e in own], "slot long, node long, weight long, size int")
     table = spark.createDataFrame([(n, sorted(own)) for n, own in enumerate(sets)], "node long, own array<long>")
     got = {r["node"]: r["root"] for r in meeting.components_inside(entries, table, nearcopies.needed, rounds, most).collect()}
     assert got == {n: r for n, r in roots.items() if n in {x for p in pairs for x in p}}
