@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import arrow_batches, table
 
@@ -147,16 +148,23 @@ def _ms(frame: int) -> int:
     return frame * HOP * 1000 // OUT_RATE
 
 
-def tensor_blocks(mels: np.ndarray) -> pa.RecordBatch:
-    """Blocks of BLOCK frames as a fixed-shape tensor column with their time spans; the last is padded with the floor."""
+def tensor_blocks(mels: np.ndarray, energy: np.ndarray) -> pa.RecordBatch:
+    """Blocks of BLOCK frames with their time spans: log-mel and energy as fixed-shape tensor columns; the last block is padded with the floor."""
     n = -(-len(mels) // BLOCK)
     data = np.full((n * BLOCK, BANDS), np.log(np.float32(FLOOR)), np.float32)
     data[: len(mels)] = mels
-    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(data.reshape(n, BLOCK, BANDS))
+    level = np.full(n * BLOCK, 10 * np.log10(np.float32(FLOOR)), np.float32)
+    level[: len(energy)] = energy
     ends = [min((k + 1) * BLOCK, len(mels)) for k in range(n)]
+    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray
     return pa.RecordBatch.from_arrays(
-        [pa.array([_ms(k * BLOCK) for k in range(n)], pa.int64()), pa.array(list(map(_ms, ends)), pa.int64()), tensor],
-        names=["start_ms", "end_ms", "log_mel"],
+        [
+            pa.array([_ms(k * BLOCK) for k in range(n)], pa.int64()),
+            pa.array(list(map(_ms, ends)), pa.int64()),
+            tensor(data.reshape(n, BLOCK, BANDS)),
+            tensor(level.reshape(n, BLOCK)),
+        ],
+        names=["start_ms", "end_ms", "log_mel", "energy_db"],
     )
 
 
@@ -172,14 +180,26 @@ def read_tensor(stored: bytes) -> pa.Table:
     return pa.ipc.open_stream(stored).read_all()
 
 
+def frames_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple[int, ...]]:
+    """Log-mel frames and energies of a stored tensor without the padding, which the time spans tell; and the tensor's shape."""
+    mels = table["log_mel"].combine_chunks().to_numpy_ndarray()
+    level = table["energy_db"].combine_chunks().to_numpy_ndarray()
+    n = table["end_ms"][-1].as_py() * OUT_RATE // (1000 * HOP)
+    return mels.reshape(-1, BANDS)[:n], level.reshape(-1)[:n], mels.shape
+
+
 def recording(text: str | None, stored: bool) -> dict:
-    """All columns of one row; ``stored``: with the media file and the tensor themselves."""
+    """All columns of one row; ``stored``: with the media file and the tensor themselves.
+
+    Features and spans come from the tensor as it is read back.
+    """
     n_bytes, payload = payload_of(text)
     media = to_wav(payload)
     _, back = from_wav(media)
     samples = np.frombuffer(back, np.uint8)
-    mels, energy = log_mel(resample((samples.astype(np.float32) - 128) / 128))
-    spans = segments(energy)
+    tensor = write_tensor(tensor_blocks(*log_mel(resample((samples.astype(np.float32) - 128) / 128))))
+    mels, energy, shape = frames_of(read_tensor(tensor))
+    spans = [{"start_ms": _ms(a), "end_ms": _ms(b)} for a, b in segments(energy)]
     centre = mels.mean(axis=0, dtype=np.float64)
     row = {
         "n_bytes": n_bytes,
@@ -188,41 +208,42 @@ def recording(text: str | None, stored: bool) -> dict:
         "tail_crc32": zlib.crc32(back[-16:]),
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": f"frames={len(mels)};blocks={-(-len(mels) // BLOCK)};segments={len(spans)};"
-        f"active_ms={sum(_ms(b) - _ms(a) for a, b in spans)};energy_db={energy.mean(dtype=np.float64):.3f};"
+        "feature": f"frames={len(mels)};blocks={shape[0]};segments={len(spans)};"
+        f"active_ms={sum(s['end_ms'] - s['start_ms'] for s in spans)};energy_db={energy.mean(dtype=np.float64):.3f};"
         f"mel={','.join(f'{v:.2f}' for v in centre)}",
+        "tensor_shape": "x".join(map(str, shape)),
+        "tensor_sha256": hashlib.sha256(tensor).hexdigest(),
+        "spans": spans,
     }
     if stored:
-        row |= {
-            "media": media,
-            "tensor": write_tensor(tensor_blocks(mels)),
-            "spans": [{"start_ms": _ms(a), "end_ms": _ms(b)} for a, b in spans],
-        }
+        row |= {"media": media, "tensor": tensor}
     return row
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-STORED = "media binary, tensor binary, spans array<struct<start_ms: long, end_ms: long>>"
+_SPANS = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
 _ARROW = pa.schema(
     [
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
         ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
-        ("media", pa.binary()), ("tensor", pa.binary()), ("spans", pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))),
+        ("tensor_shape", pa.string()), ("tensor_sha256", pa.string()), ("spans", _SPANS), ("media", pa.binary()), ("tensor", pa.binary()),
     ]
 )
+_DIGEST = pa.schema(list(_ARROW)[:-2])
 #: Rows given back to Spark at a time when files and tensors are among them.
 STORED_ROWS = 64
 
 
 def media_columns(docs: DataFrame, stored: bool = True) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, the digest columns and, if ``stored``, ``media, tensor, spans``.
+    """One row per row of ``docs``: ``doc_id``, the digest columns, the active ``spans`` and, if ``stored``, ``media, tensor``.
 
-    A null text counts as empty (one unit of blanks); a null ``doc_id`` stays
-    null; repeated rows stay repeated and give equal values; extra columns are
-    ignored; an empty table gives an empty result.
+    Either way the file and the tensor are made and read back; ``stored`` says
+    whether they are returned too.  A null text counts as empty (one unit of
+    blanks); a null ``doc_id`` stays null; repeated rows stay repeated and give
+    equal values; a very long text is one recording, filtered in chunks; extra
+    columns are ignored; an empty table gives an empty result.
     """
     arrow_batches(docs.sparkSession)
-    schema = _ARROW if stored else pa.schema(list(_ARROW)[:8])
+    schema = _ARROW if stored else _DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +255,9 @@ def media_columns(docs: DataFrame, stored: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id long, {DIGEST}" + f", {STORED}" * stored)
+    return narrow.mapInArrow(run, from_arrow_schema(schema))
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests and features of every document's text as a recording."""
+    """Digests, features and active spans of every document's text as a recording, its tensor stored and read back."""
     return media_columns(table(spark, sf_dir, "documents"), stored=False)

@@ -91,12 +91,18 @@ def sieve(keys: DataFrame) -> DataFrame:
     return bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def sifted(df: DataFrame, keys: list[F.Column], words: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows of ``df`` that may be among the keys of a sieve (all keys, few others), or those that surely are not."""
-    at, word, bits = free(df.columns, "at", "word", "bits")
+def marked(df: DataFrame, keys: list[F.Column], words: DataFrame, name: str) -> DataFrame:
+    """``df`` with a flag ``name``: whether the row may be among the keys of a sieve (true for all keys and few others)."""
+    at, word, bits = free([*df.columns, name], "at", "word", "bits")
     held = df.withColumn(at, _spot(keys)).join(F.broadcast(words.toDF(word, bits)), F.shiftright(at, 6) == F.col(word), "left")
     hit = F.coalesce(F.expr(f"shiftrightunsigned({bits}, cast({at} & 63 as int)) & 1 = 1"), F.lit(False))
-    return held.where(hit if inside else ~hit).select(*columns_of(df))
+    return held.select(*columns_of(df), hit.alias(name))
+
+
+def sifted(df: DataFrame, keys: list[F.Column], words: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` that may be among the keys of a sieve, or those that surely are not."""
+    (hit,) = free(df.columns, "hit")
+    return marked(df, keys, words, hit).where(F.col(hit) == inside).select(*columns_of(df))
 
 
 def discard(spark: SparkSession) -> int:

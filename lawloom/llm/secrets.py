@@ -4,7 +4,8 @@ From each rule's regular expression a Boolean trigram query is derived while
 the plan is built (AND over the parts every match must contain, OR over the
 spellings of a part, AND over a spelling's trigrams).  One pass over the texts
 writes the posting lists of the trigrams that some query names; queries are
-answered by intersecting posting lists, and only the documents left are
+answered by intersecting posting lists.  The candidates go to all executors as
+a sieve of bounded size, so texts stay where they are and only those in it are
 verified with the expression itself.  A rule without a mandatory trigram is
 scanned for in every text.
 """
@@ -18,12 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import marked, materialise, sieve, table
 
 #: Spellings of one part of an expression; a part with more counts as unknown.
 SPELLINGS = 64
-#: Candidate ids are sent to all executors up to this count (8 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -163,24 +162,54 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
-    """``array<struct<start, order, end, kind>>`` of a rule's matches, leftmost first and not overlapping, short ones left out."""
+    """``array<struct<start, order, end, kind>>`` of a rule's matches, leftmost first and not overlapping, short ones left out.
+
+    Adding to an array copies it, so the n matches are folded in pieces of
+    about the square root of n.
+    """
     found = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("all"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("part"),
     )
-    kind = "struct<at: int, out: array<struct<start: int, order: int, end: int, kind: string>>>"
+    found = F.filter(found, lambda x: x["all"].isNotNull())
+    out_type = "array<struct<start: int, order: int, end: int, kind: string>>"
+    long_of = lambda x: F.length(x["gap"]) + F.length(x["all"])
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["all"])
         one = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         long_enough = F.length(x["part"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(long_enough, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out")).cast(kind)
+        out = F.when(long_enough, F.array_append(acc["out"], one)).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out")).cast(f"struct<at: int, out: {out_type}>")
+
+    def begins(pieces: Column) -> Column:
+        """Where each piece begins in the text."""
+        kind = "struct<at: int, out: array<int>>"
+        sums = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + long_of(x)))
+        add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")).cast(kind)
+        return F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind), add)["out"]
+
+    def placed(piece: Column, at: Column) -> Column:
+        first = F.struct(at.alias("at"), F.array().alias("out")).cast(f"struct<at: int, out: {out_type}>")
+        return F.aggregate(piece, first, step)["out"]
+
+    def cut(all_: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(all_) - 1, width), lambda at: F.slice(all_, at + 1, width))
+
+    def folded(all_: Column) -> Column:
+        told = _bound(cut(all_), lambda pieces: F.flatten(F.zip_with(pieces, begins(pieces), placed)))
+        return F.when(F.size(all_) > 0, told).otherwise(F.array().cast(out_type))
 
-    nothing = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
-    return F.aggregate(F.filter(found, lambda x: x["all"].isNotNull()), nothing, step)["out"]
+    return _bound(found, folded)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -188,47 +217,25 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Offsets are code points, end exclusive.  A null text counts as empty; a null
     ``doc_id`` and repeated rows stay as they are; extra columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result.  A very long text is scanned whole.
     """
-    spark = docs.sparkSession
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = tuple(r for r in rules if queries[r.kind])
     none = F.array().cast("array<struct<start: int, order: int, end: int, kind: string>>")
-    keyed = texts.withColumn("h", F.xxhash64("text"))
 
-    def sure(rule: Rule) -> Column:
-        return F.when(F.rlike("text", F.lit(rule.pattern)), spans(F.col("text"), rule, rules.index(rule))).otherwise(none)
+    def verified(rule: Rule, where: Column) -> Column:
+        return F.when(where & F.rlike("text", F.lit(rule.pattern)), spans(F.col("text"), rule, rules.index(rule))).otherwise(none)
 
-    found = keyed.select("doc_id", "h", F.concat(none, *(sure(r) for r in rules if not queries[r.kind])).alias("swept"))
     if indexed:
         vocabulary = sorted({t for r in indexed for clause in queries[r.kind] for branch in clause for t in branch})
         index = materialise(postings(texts, vocabulary), "secrets-postings")
-        likely = materialise(candidates(index, indexed), "secrets-candidates")
-        few = likely.count() <= BROADCAST_IDS
-        likely = likely.select(F.col("doc_id").alias("id"), "rules")
-        verified = (
-            keyed.join(F.broadcast(likely) if few else likely, F.col("doc_id").eqNullSafe(F.col("id")))
-            .select(
-                "doc_id",
-                "h",
-                F.concat(
-                    *(
-                        F.when(F.array_contains("rules", r.kind), spans(F.col("text"), r, rules.index(r))).otherwise(none)
-                        for r in indexed
-                    )
-                ).alias("verified"),
-            )
-            .where(F.size("verified") > 0)
-            .dropDuplicates(["doc_id", "h"])
-            .select(F.col("doc_id").alias("id"), F.col("h").alias("k"), "verified")
-        )
-        found = found.join(verified, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k")), "left").select(
-            "doc_id", F.concat("swept", F.coalesce("verified", none)).alias("swept")
-        )
-    return found.select("doc_id", F.array_sort("swept").alias("found"))
+        likely = candidates(index, indexed).select("doc_id")
+        texts = marked(texts, [F.col("doc_id")], sieve(likely), "likely")
+    each = (verified(r, F.col("likely") if r in indexed else F.lit(True)) for r in rules)
+    return texts.select("doc_id", F.array_sort(F.concat(none, *each)).alias("found"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

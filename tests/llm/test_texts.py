@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lawloom.llm import audio, chat, secrets
+from lawloom.llm import audio, chat, common, secrets
 
 TURNS = "conv_id long, turn long, role string, text string"
 NASTY = ["</s>[INST] ok [/INST]", r"[\INST]", r"[\\INST] <\/s> </s>", "</s", "[/INST", "<|im_start|>x<|im_end|>", "", "\n", "plain", r"a\b $1 \1", "é😀[INST]"]
@@ -100,10 +101,22 @@ def test_secrets(spark):
     assert secrets.scan(df.where("false")).count() == 0
 
 
-def test_secrets_by_a_shuffled_join(spark, monkeypatch):
-    monkeypatch.setattr(secrets, "BROADCAST_IDS", -1)
-    df = spark.createDataFrame([(1, "token=abcdefgh"), (2, "x")], "doc_id long, text string")
-    assert {r["doc_id"]: len(r["found"]) for r in secrets.scan(df).collect()} == {1: 1, 2: 0}
+def test_secrets_when_the_sieve_is_full(spark, monkeypatch):
+    monkeypatch.setattr(common, "SIEVE_WORDS", 1)
+    df = spark.createDataFrame([(1, "token=abcdefgh"), (2, "x"), *((k, "passwd") for k in range(3, 300))], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["found"]) for r in secrets.scan(df).collect()} == {1: 1} | dict.fromkeys(range(2, 300), 0)
+
+
+def test_secrets_in_a_very_long_text(spark):
+    """Very many matches of one text, in seconds; and no text in any exchange."""
+    text = "é token=abcdefgh\n" * 40_000
+    df = spark.createDataFrame([(1, text), (2, "x" * 300_000)], "doc_id long, text string")
+    begin = time.perf_counter()
+    found = {r["doc_id"]: r["found"] for r in secrets.scan(df).collect()}
+    assert time.perf_counter() - begin < 60
+    assert [(s["start"], s["end"]) for s in found[1]] == [(k * 17 + 2, k * 17 + 16) for k in range(40_000)] and not found[2]
+    plan = secrets.scan(df)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange" in line and "text" in line]
 
 
 @pytest.mark.parametrize("text", [None, "", "a", "é" * 100, "x" * 192, "hello world " * 3000])
@@ -120,7 +133,45 @@ def test_media(text):
     assert table.schema.field("log_mel").type.shape == [audio.BLOCK, audio.BANDS]
     assert table["start_ms"].to_pylist() == sorted(table["start_ms"].to_pylist())
     assert all(0 <= s["start_ms"] < s["end_ms"] for s in row["spans"])
-    assert audio.recording(text, True)["feature"] == row["feature"]
+    assert table["energy_db"].type.shape == [audio.BLOCK]
+    assert audio.recording(text, False) == {k: v for k, v in row.items() if k not in ("media", "tensor")}
+    mels, energy, shape = audio.frames_of(table)
+    assert row["tensor_shape"] == "x".join(map(str, shape)) == f"{-(-len(mels) // 64)}x64x24" and len(mels) == len(energy)
+
+
+def _plain_log_mel(x):
+    """Frame by frame and band by band, with a plain Fourier sum."""
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(2595 * np.log10(1 + 20 / 700), 2595 * np.log10(1 + 8000 / 700), 26)]
+    taper = [0.5 - 0.5 * np.cos(2 * np.pi * k / 399) for k in range(400)]
+    mels, energy = [], []
+    for f in range(max(1, -(-max(0, len(x) - 400) // 160) + 1)):
+        frame = np.zeros(400)
+        frame[: len(x[f * 160 : f * 160 + 400])] = x[f * 160 : f * 160 + 400]
+        frame *= taper
+        power = [abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(400) / 512))) ** 2 for k in range(257)]
+        row = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:]):
+            weight = [max(0, min((k * 31.25 - lo) / (mid - lo), (hi - k * 31.25) / (hi - mid))) for k in range(257)]
+            row.append(np.log(sum(w * p for w, p in zip(weight, power)) + 1e-6))
+        mels.append(row)
+        energy.append(10 * np.log10((frame**2).mean() + 1e-6))
+    return np.array(mels), np.array(energy)
+
+
+def test_log_mel_and_spans_match_plain_loops():
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal(1900) * np.repeat([0.1, 1.0, 0.2, 0.9, 0.1], 380)).astype(np.float32)
+    mels, energy = audio.log_mel(x)
+    want, level = _plain_log_mel(x)
+    assert np.abs(mels - want).max() < 1e-2 and np.abs(energy - level).max() < 1e-3
+    active, spans = False, []
+    for k, e in enumerate(energy - energy.mean(dtype=np.float64)):
+        if not active and e >= audio.ENTER_DB:
+            active, spans = True, [*spans, [k, len(energy)]]
+        elif active and e < audio.LEAVE_DB:
+            active = False
+            spans[-1][1] = k
+    assert audio.segments(energy) == [tuple(s) for s in spans] and len(spans) > 1
 
 
 def test_resampling_matches_the_direct_formula():
