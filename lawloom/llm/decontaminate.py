@@ -1,10 +1,12 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item that share a seed (five words in a row) are
-compared by running Karp-Rabin greedy string tiling: the longest matches of
-words not yet covered are marked first, then shorter ones, down to the seed's
-length.  The share of the item's words that tiles cover does not depend on the
-order of its passages in the document, so reordered leaks count in full.
+A document and a benchmark item of whose words shared seeds (five words in a
+row) cover enough are compared by running Karp-Rabin greedy string tiling: the
+longest matches of words not yet covered are marked first, then shorter ones,
+down to the seed's length.  The share of the item's words that tiles cover does
+not depend on the order of its passages in the document, so reordered leaks
+count in full.  Tiles lie under shared seeds, so an item that seeds do not
+cover enough is settled without tiling, as are those that share a stock phrase.
 
 The benchmark is read in blocks of bounded size, each sent to all executors and
 held against every document in one pass without a shuffle; a larger benchmark
@@ -13,6 +15,7 @@ takes more passes, not more memory.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +31,9 @@ from .common import arrow_batches, map_arrow, table
 
 SEED_WORDS = 5
 COVERAGE = 0.6
-#: Characters and items of the benchmark held against the documents at a time.
-BLOCK_CHARS = 8 << 20
-BLOCK_ITEMS = 50_000
+#: Characters and items of the benchmark held against the documents at a time: about 75 MB in each worker.
+BLOCK_CHARS = 24 << 20
+BLOCK_ITEMS = 200_000
 WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
@@ -79,6 +83,8 @@ def _matches(a: list[int], b: list[int], free_a: bytearray, free_b: bytearray, l
 def tiles(item: list[int], doc: list[int], least: int = SEED_WORDS, start: int = 20) -> list[tuple[int, int, int]]:
     """Greedy tiling: ``(item start, doc start, length)`` of matches that do not overlap, longest marked first.
 
+    Ties go to the first in the item, then in the document, so the result is
+    that of trying all pairs of places.
     Words are numbers above 0; a 0 in ``doc`` matches nothing.
     """
     free_item, free_doc = bytearray(b"\x01") * len(item), bytearray(1 if w else 0 for w in doc)
@@ -89,13 +95,19 @@ def tiles(item: list[int], doc: list[int], least: int = SEED_WORDS, start: int =
         if longest > 2 * length:
             length = longest
             continue
-        for k, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if all(free_item[i : i + k]) and all(free_doc[j : j + k]):
-                free_item[i : i + k] = bytes(k)
-                free_doc[j : j + k] = bytes(k)
-                out.append((i, j, k))
-        if found:  # the longest was marked; what is left of occluded ones may still be long enough
-            continue
+        queue = [(-k, i, j) for k, i, j in found]
+        heapq.heapify(queue)
+        while queue:
+            k, i, j = heapq.heappop(queue)
+            free = bytes(a & b for a, b in zip(free_item[i : i - k], free_doc[j : j - k], strict=True))
+            if all(free):
+                free_item[i : i - k] = bytes(-k)
+                free_doc[j : j - k] = bytes(-k)
+                out.append((i, j, -k))
+            else:  # what is left of it may still be long enough
+                for run in re.finditer(b"\x01+", free):
+                    if len(run[0]) >= length:
+                        heapq.heappush(queue, (-len(run[0]), i + run.start(), j + run.start()))
         if length == least:
             return out
         length = max(least, length // 2)
@@ -103,66 +115,81 @@ def tiles(item: list[int], doc: list[int], least: int = SEED_WORDS, start: int =
 
 @dataclass
 class BenchmarkBlock:
-    """A part of the benchmark, ready to be held against documents."""
+    """A part of the benchmark, ready to be held against documents: arrays only, about 30 bytes a word."""
 
     ids: list[int | None]
-    items: list[list[int]]  # words as numbers from 1
-    vocabulary: dict[str, int]
-    seeds: np.ndarray  # sorted hashes
-    places: dict[int, set[int]]  # seed hash to items
+    words: np.ndarray  # of all items, as hashes, one item after the other
+    begins: np.ndarray  # of each item, and the end
+    seeds: np.ndarray  # hashes, sorted
+    places: np.ndarray  # of each seed in words
+    short: dict[tuple[int, ...], list[int | None]]  # items with fewer words than a seed, by their words
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]]) -> BenchmarkBlock:
-        vocabulary: dict[str, int] = {}
-        ids, items, places = [], [], defaultdict(set)
+        ids, items, short = [], [], {}
         for item_id, text in rows:
-            words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-            if len(words) >= SEED_WORDS:
-                for h in _seed_hashes(np.array(words, np.int64)).tolist():
-                    places[h].add(len(items))
+            own = hashes_of(words_of(text))
+            if len(own) >= SEED_WORDS:
                 ids.append(item_id)
-                items.append(words)
-        return cls(ids, items, vocabulary, np.array(sorted(places), np.uint64), dict(places))
+                items.append(own)
+            elif len(own):
+                short.setdefault(tuple(own.tolist()), []).append(item_id)
+        words = np.concatenate([np.zeros(0, np.int64), *items])
+        begins = np.concatenate([[0], np.cumsum([len(x) for x in items], dtype=np.int64)]).astype(np.int64)
+        starts = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b - SEED_WORDS + 1) for a, b in zip(begins, begins[1:]))]).astype(np.int64)
+        seeds = _seed_hashes(words)[starts] if len(starts) else np.zeros(0, np.uint64)
+        order = np.argsort(seeds, kind="stable")
+        return cls(ids, words, begins, seeds[order], starts[order], short)
+
+    def _candidates(self, hashes: np.ndarray, coverage: float) -> list[int]:
+        """Items of whose words the shared seeds ``hashes`` (distinct) cover enough."""
+        low, high = np.searchsorted(self.seeds, hashes, "left"), np.searchsorted(self.seeds, hashes, "right")
+        counts = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        under = np.unique(self.places[at][:, None] + np.arange(SEED_WORDS))
+        items, covered = np.unique(np.searchsorted(self.begins, under, "right") - 1, return_counts=True)
+        size = self.begins[items + 1] - self.begins[items]
+        return items[covered >= coverage * size - 1e-9].tolist()
 
     def leaks(self, text: str | None, coverage: float) -> list[tuple[int | None, float, int, int]]:
         """``(item_id, coverage, tiles, covered words)`` of the items the text leaks."""
-        if not self.items or not text:
-            return []
-        number = self.vocabulary.get
-        doc = np.array([number(w, 0) for w in words_of(text)], np.int64)
-        if len(doc) < SEED_WORDS:
-            return []
-        known = np.convolve(doc > 0, np.ones(SEED_WORDS, np.int64), "valid") == SEED_WORDS
-        starts = np.flatnonzero(known)
-        if not len(starts):
+        if not text:
             return []
-        hashes = _seed_hashes(doc)[starts]
-        spot = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
-        hit = self.seeds[spot] == hashes
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for at, h in zip(starts[hit].tolist(), hashes[hit].tolist(), strict=True):
-            for item in self.places[h]:
-                by_item[item].append(at)
         out = []
-        for item, ats in sorted(by_item.items()):
-            words, reach, region = self.items[item], -1, []
-            # Only words under a seed can be in a tile; gaps between them match nothing.
-            for at in ats:
-                if at > reach:
-                    region.append(0)
-                    reach = at
-                region += doc[reach : at + SEED_WORDS].tolist()
-                reach = at + SEED_WORDS
-            found = tiles(words, region)
+        if self.short:
+            lines = {tuple(hashes_of(w).tolist()) for line in text.split("\n") if len(w := words_of(line)) < SEED_WORDS}
+            out += [(i, 1.0, 1, len(line)) for line in sorted(lines) for i in self.short.get(line, ())]
+        doc = hashes_of(words_of(text))
+        if len(doc) < SEED_WORDS or not len(self.seeds):
+            return out
+        hashes = _seed_hashes(doc)
+        spot = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
+        hit = np.flatnonzero(self.seeds[spot] == hashes)
+        if not len(hit):
+            return out
+        hashes = hashes[hit]
+        for item in self._candidates(np.unique(hashes), coverage):
+            words = self.words[self.begins[item] : self.begins[item + 1]]
+            ats = hit[np.isin(hashes, _seed_hashes(words))]
+            # Only words under a seed can be in a tile; a gap between them matches nothing.
+            under = np.unique(ats[:, None] + np.arange(SEED_WORDS))
+            region = np.insert(doc[under], np.flatnonzero(np.diff(under) > 1) + 1, 0)
+            found = tiles(words.tolist(), region.tolist())
             covered = sum(k for _, _, k in found)
-            if covered / len(words) >= coverage:
+            if covered >= coverage * len(words) - 1e-9:
                 out.append((self.ids[item], covered / len(words), len(found), covered))
         return out
 
 
+def hashes_of(words: list[str]) -> np.ndarray:
+    """Words as numbers above 0."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([(digest(w) >> 2) + 1 for w in words], np.int64)
+
+
 def _seed_hashes(words: np.ndarray) -> np.ndarray:
     """A hash of each window of SEED_WORDS words."""
-    n = len(words) - SEED_WORDS + 1
+    n = max(0, len(words) - SEED_WORDS + 1)
     out = np.zeros(n, np.uint64)
     for k in range(SEED_WORDS):
         out = (out ^ words[k : k + n].astype(np.uint64)) * _MIX
@@ -183,10 +210,12 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[BenchmarkBlock]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, item_id, coverage, n_tiles, n_words`` for each document and item with at least ``coverage``.
 
-    Items of fewer than five words, or without text, prove nothing and are
-    left out.  A null text leaks nothing; null ids stay null; repeated rows
-    give repeated results; extra columns are ignored; an empty table on either
-    side gives an empty result.
+    An item of fewer than five words is leaked by a document that has a line of
+    just these words; one without words by none.  A null text leaks nothing;
+    null ids stay null; repeated rows give repeated results; of matches of one
+    length the first in the item, then in the document, is marked first; a very
+    long text is held against the items whole; extra columns are ignored; an
+    empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
