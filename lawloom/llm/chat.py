@@ -122,7 +122,8 @@ def format_conversations(
     with a null ``conv_id`` form one conversation.  ``loss_spans`` holds the code
     point ranges (end exclusive) of the texts whose role is in ``learn``.  Extra
     columns are ignored; an empty table gives an empty result.  A conversation
-    is one value, so its turns meet in one task; different ones never do.
+    is one value, so its turns meet in one task; different ones never do.  A
+    very long text is a turn like any other.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),

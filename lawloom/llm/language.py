@@ -93,8 +93,13 @@ def train(
     beta: float = 1.0,
     l1: float = 1.0,
     l2: float = 0.1,
+    frequencies: tuple[int, np.ndarray] | None = None,
 ) -> LanguageModel:
-    """Fit to ``(buckets, counts, language)`` rows; every fifth row only calibrates."""
+    """Fit to ``(buckets, counts, language)`` rows; every fifth row only calibrates.
+
+    ``frequencies``: how many texts there are, and in how many each bucket is;
+    by default those of the rows.
+    """
     names = sorted({r[2] for r in rows})
     k, size = len(names), 1 << BITS
     if not names:
@@ -102,10 +107,9 @@ def train(
     at = {n: i for i, n in enumerate(names)}
     held = [r for i, r in enumerate(rows) if i % 5 == 4]
     fit = [r for i, r in enumerate(rows) if i % 5 != 4] or rows
-    seen = np.zeros(size)
-    for b, _, _ in fit:
-        seen[b] += 1
-    idf = np.log((1 + len(fit)) / (1 + seen)) + 1
+    if frequencies is None:
+        frequencies = len(fit), np.bincount(np.concatenate([r[0] for r in fit]), minlength=size)
+    idf = np.log((1 + frequencies[0]) / (1 + frequencies[1])) + 1
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))  # the last row is the bias
 
     def weights(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
@@ -141,13 +145,41 @@ def train(
     return LanguageModel(names, (w[:size] * idf[:, None]).astype(np.float32), w[size].copy(), float(grid[int(np.argmin(loss))]))
 
 
+def bucket_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """How many of all ``texts(text)`` have a letter, and how many of these have an n-gram in each bucket."""
+    size = 1 << BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(size, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0):
+                if has_letter(text := text.as_py()):
+                    mark = np.zeros(size, bool)
+                    for grams in _grams(_codes(text)):
+                        mark[grams] = True
+                    seen += mark
+                    n += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["bucket", "n"])
+
+    got = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size + 1, np.int64)
+    counts[got["bucket"].to_numpy()] = got["n"].to_numpy()  # the total is at -1, the last
+    return int(counts[-1]), counts[:-1]
+
+
 def fit_language_model(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from ``text`` and ``lang`` of a bounded, hash-chosen sample of ``docs``; each row is its own example."""
+    """Learn from ``text`` and ``lang`` of a bounded, hash-chosen sample of ``docs``.
+
+    Rows of one id, text and language are one example.  The frequencies of
+    n-grams are counted over all rows with a language.
+    """
     arrow_batches(docs.sparkSession)
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label")
     )
-    chosen, _ = labelled_sample(own, sample)
+    chosen, _ = labelled_sample(own, sample, ["doc_id", "text"])
+    chosen = chosen.dropDuplicates(["doc_id", "text", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,15 +194,17 @@ def fit_language_model(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         zip(got["doc_id"].to_pylist(), map(lambda x: x.values.to_numpy(), got["buckets"]), map(lambda x: x.values.to_numpy(), got["counts"]), got["label"].to_pylist(), strict=True),
         key=lambda r: (r[0], r[3], len(r[1]), int(r[2].sum())),
     )
-    return train([r[1:] for r in rows])
+    return train([r[1:] for r in rows], frequencies=bucket_frequencies(own.where("label is not null").select("text")) if rows else None)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, lang_pred, score``.
 
     A text that is null or has no letter is ``und`` with score 0, as is every
-    text if nothing could be learned.  Null ids and repeated rows stay; extra
-    columns are ignored; an empty table gives an empty result.
+    text if nothing could be learned.  Of equally likely languages the first
+    by name is told.  A very long text is read whole, in pieces.  Null ids and
+    repeated rows stay; extra columns are ignored; an empty table gives an
+    empty result.
     """
     arrow_batches(docs.sparkSession)
 

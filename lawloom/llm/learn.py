@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 UNIT = 1 << 31
 
 
-def labelled_sample(labels: DataFrame, total: int) -> tuple[DataFrame, dict]:
+def labelled_sample(labels: DataFrame, total: int, keys: list[str] | None = None) -> tuple[DataFrame, dict]:
     """About ``total`` rows of ``labels(doc_id, label)`` at most, shared evenly by the label values.
 
-    A row is taken by a hash of its ``doc_id``, so the sample is the same for
-    any partitioning.  Counts per label value cover all rows.  Returns the rows
+    A row is taken by a hash of its ``keys`` (by default ``doc_id``), so the
+    sample is the same for any partitioning.  Counts per label value cover all rows.  Returns the rows
     and each value's rate.  Rows with a null id or label are no examples.
     """
     known = labels.where("doc_id is not null and label is not null")
@@ -22,14 +22,19 @@ def labelled_sample(labels: DataFrame, total: int) -> tuple[DataFrame, dict]:
     if not rates:
         return known.where("false"), rates
     rate = F.create_map(*(x for k, r in rates.items() for x in (F.lit(k), F.lit(r))))[F.col("label")]
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(UNIT)) / UNIT
+    unit = F.pmod(F.xxhash64(*(keys or ["doc_id"])), F.lit(UNIT)) / UNIT
     return known.where(unit < rate), rates
 
 
 def examples(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """``doc_id, text, label`` of the sampled documents; the sample is bounded by its parameter and so broadcast."""
+    """``doc_id, text, label`` of the sampled documents, one row per id: of several texts the first in order.
+
+    The sample is bounded by its parameter and so broadcast; as is, by then, the
+    number of examples, however often an id is repeated.
+    """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
+    told = narrow.join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
+    return told.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -173,6 +173,7 @@ def drop_lines(docs: DataFrame, recurring: int = RECURRING, broadcast_lines: int
     them).  A null text stays null with no lines; an empty text has one line;
     rows of one id are treated alike; other columns stay as they are (a new
     name that is taken gets an underscore); an empty table gives an empty result.
+    All lines of a very long text count; its words are held at once.
     """
     spark = docs.sparkSession
     added = free(docs.columns, "n_lines", "n_dropped")

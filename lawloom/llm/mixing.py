@@ -144,7 +144,8 @@ def mix(docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, bud
     Reading order is epoch, position, then any order in a block.  A null source
     is a source of its own; documents without tokens (null texts too) are read
     with their block; a source without any token is read once.  Repeated rows
-    are read together.  Other columns stay as they are (a new name that is
+    are read together.  A very long text is one document, read whole or not at
+    all.  Other columns stay as they are (a new name that is
     taken gets an underscore); an empty table gives an empty result.
     """
     epoch, block, position, src, key, cuts, reading, read = free(

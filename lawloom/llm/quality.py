@@ -233,9 +233,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rul
 def score_quality(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, score, predicted``.
 
-    A null text counts as empty and has a score like any other.  Null ids and
-    repeated rows stay; extra columns are ignored; an empty table gives an
-    empty result.
+    A null text counts as empty and has a score like any other; a very long one
+    is read whole.  Null ids and repeated rows stay; extra columns are ignored;
+    an empty table gives an empty result.
     """
     scored = with_statistics(docs).select("doc_id", model.column().alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -216,8 +216,9 @@ def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, expected_severity, p_toxic, toxic``.
 
     A null or wordless text has severity 0, as has every text if the labels
-    showed less than two classes.  Null ids and repeated rows stay; extra
-    columns are ignored; an empty table gives an empty result.
+    showed less than two classes.  A very long text is read whole, one row at a
+    time.  Null ids and repeated rows stay; extra columns are ignored; an empty
+    table gives an empty result.
     """
     arrow_batches(docs.sparkSession)
 
