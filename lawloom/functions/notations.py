@@ -469,7 +469,7 @@ def _read_ssa(source: Column) -> Column:
         return terms.let(F.split(line, " ", -1), define)
 
     def sides(v: Column) -> Column:
-        fine = (F.size(v["last"]) == 4) & (F.get(v["last"], F.lit(0)) == "assert")
+        fine = (F.size(v["last"]) == 4) & (F.get(v["last"], F.lit(0)) == "assert") & ~F.array_contains(v["last"], "")
         pair = F.struct(value(v["known"], F.get(v["last"], F.lit(1))).alias("lhs"), value(v["known"], F.get(v["last"], F.lit(3))).alias("rhs"))
         return F.when(fine, pair)
 

@@ -83,8 +83,8 @@ def all_tables(n: int) -> np.ndarray:
 
 
 @cache
-def distinct_tables(n: int) -> np.ndarray:
-    """One table of each isomorphism class, the first in counting order."""
+def isomorphism_classes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each class's first table in counting order, and how many tables the class has."""
     every = all_tables(n).astype(np.int64)
     powers = n ** np.arange(n * n - 1, -1, -1, dtype=np.int64)
     own = np.arange(len(every))
@@ -94,7 +94,13 @@ def distinct_tables(n: int) -> np.ndarray:
         back = np.argsort(p)
         grid = every.reshape(-1, n, n)[:, back][:, :, back]
         least = np.minimum(least, (p[grid].reshape(len(every), -1) * powers).sum(axis=1))
-    return all_tables(n)[own == least]
+    first = own[own == least]
+    return first, np.bincount(least)[first]
+
+
+def distinct_tables(n: int) -> np.ndarray:
+    """One table of each isomorphism class, the first in counting order."""
+    return all_tables(n)[isomorphism_classes(n)[0]]
 
 
 def evaluate(postfix: list[int], values: np.ndarray, flat: np.ndarray, n: int) -> np.ndarray:
@@ -152,7 +158,7 @@ def _first_bit(a: bytes, b: bytes) -> int | None:
 
 
 def _witness_rows(a: pd.Series, b: pd.Series, sizes: tuple[int, ...]) -> pd.DataFrame:
-    starts = np.cumsum([0, *(table_count(n) for n in sizes)])
+    starts = np.cumsum([0, *(len(isomorphism_classes(n)[0]) for n in sizes)])
     rows = []
     for x, y in zip(a, b, strict=True):
         at = _first_bit(x, y)
@@ -160,7 +166,8 @@ def _witness_rows(a: pd.Series, b: pd.Series, sizes: tuple[int, ...]) -> pd.Data
             rows.append((None, None, None))
         else:
             k = int(np.searchsorted(starts, at, side="right")) - 1
-            rows.append((sizes[k], at - int(starts[k]), all_tables(sizes[k])[at - starts[k]].tolist()))
+            number = int(isomorphism_classes(sizes[k])[0][at - starts[k]])
+            rows.append((sizes[k], number, all_tables(sizes[k])[number].tolist()))
     return pd.DataFrame({"n": pd.array([r[0] for r in rows], "Int32"), "magma_id": pd.array([r[1] for r in rows], "Int64"), "tab": [r[2] for r in rows]})
 
 
@@ -176,7 +183,8 @@ def brute_force(pairs: DataFrame, laws_df: DataFrame, a: str = "a", b: str = "b"
     """
     sizes = tuple(range(2, max_size + 1))
     used = pairs.select(F.col(a).alias(key)).union(pairs.select(F.col(b).alias(key))).distinct()
-    made = signatures(laws_df.join(used, key, "left_semi"), sizes, classes=False, key=key)
+    # Isomorphic tables satisfy the same laws, so the first counterexample is the first of its class.
+    made = signatures(laws_df.join(used, key, "left_semi"), sizes, key=key)
     one = made.select(F.col(key).alias("__a"), F.col("signature").alias("__sa"))
     two = made.select(F.col(key).alias("__b"), F.col("signature").alias("__sb"))
 
@@ -197,6 +205,17 @@ def brute_force(pairs: DataFrame, laws_df: DataFrame, a: str = "a", b: str = "b"
     )
 
 
+def holding_tables(laws_df: DataFrame, n: int, key: str = "node") -> DataFrame:
+    """``(node, n_tables)``: in how many of all tables of size n each law holds; a class counts with all its tables."""
+
+    def count(signature: pd.Series) -> pd.Series:
+        sizes = isomorphism_classes(n)[1]
+        return pd.Series([int(sizes[np.unpackbits(np.frombuffer(s, np.uint8))[: len(sizes)] == 1].sum()) for s in signature], dtype="int64")
+
+    signatures_df = signatures(laws_df, (n,), key=key)
+    return signatures_df.select(key, F.pandas_udf(count, "long")("signature").alias("n_tables"))
+
+
 def refuted_pairs(masks_df: DataFrame) -> DataFrame:
     """``(hyp_mask, concl_mask, n_pairs)``: mask pairs of which the first refutes the second, with how many law pairs have them.
 

@@ -215,8 +215,8 @@ laws AS (
 )"""
 
 
-def _filled(template: str, numbers: str, names: str = LETTERS) -> str:
-    for i in range(6):
+def _filled(template: str, numbers: str, names: str = LETTERS, places: int = 6) -> str:
+    for i in range(places):
         template = f"replace({template}, '{{{i}}}', coalesce({names}[{numbers}[{i + 1}] + 1], ''))"
     return template
 
@@ -384,19 +384,15 @@ SELECT CAST(ord AS INT) AS ord, CAST(rank AS INT) AS rank, bits FROM (SELECT * F
         "CAST(CASE WHEN s_suppkey * 61 BETWEEN 1 AND 4694 THEN s_suppkey * 61 ELSE 0 END AS INT) AS node FROM supplier"
     )
     out["magma2_satisfaction"] = f"WITH RECURSIVE {LAWS}, {SAT2} SELECT CAST(node AS INT) AS node, mask FROM masks"
-    out["magma3_counts"] = f"WITH RECURSIVE {LAWS}, sat3 AS ({_holds(3, 'true', 1)}) SELECT CAST(node AS INT) AS node, count(*) AS n_tables FROM sat3 GROUP BY node"
-    out["refutation_order2"] = (
-        f"WITH RECURSIVE {LAWS}, {SAT2} SELECT CAST(a.node AS INT) AS hyp, CAST(b.node AS INT) AS concl, (a.mask & ~b.mask) <> 0 AS refuted "
-        "FROM masks a, masks b WHERE a.node <= 46 AND b.node <= 46"
+    out["refutations_per_law"] = (
+        f"WITH RECURSIVE {LAWS}, {SAT2} SELECT CAST(a.node AS INT) AS node, count(*) FILTER (WHERE (a.mask & ~b.mask) <> 0) AS n_refuted FROM masks a, masks b GROUP BY a.node"
     )
     out["refuted_pairs"] = f"WITH RECURSIVE {LAWS}, {SAT2}, k AS (SELECT mask, count(*) AS n FROM masks GROUP BY mask) SELECT a.mask AS hyp_mask, b.mask AS concl_mask, a.n * b.n AS n_pairs FROM k a, k b WHERE (a.mask & ~b.mask) <> 0"
-    out["first_witness"] = f"""
-WITH RECURSIVE {LAWS}, sat2 AS ({_holds(2, 'true', 2)}), sat3 AS ({_holds(3, 'true', 2)}),
-pairs AS (SELECT DISTINCT 1 + o_orderkey % 46 AS a, 1 + o_custkey % 46 AS b FROM orders),
-every AS (SELECT 2 AS n, node, table_id FROM sat2 UNION ALL SELECT 3, node, table_id FROM sat3),
-found AS (SELECT a, b, min(n * 100000 + e.table_id) AS w FROM pairs JOIN every e ON e.node = a
-  WHERE NOT EXISTS (SELECT 1 FROM every f WHERE f.node = b AND f.n = e.n AND f.table_id = e.table_id) GROUP BY a, b)
-SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(coalesce(w // 100000, -1) AS INT) AS n, CAST(coalesce(w % 100000, -1) AS BIGINT) AS magma_id FROM pairs LEFT JOIN found USING (a, b)"""
+    out["first_witness_size2"] = f"""
+WITH RECURSIVE {LAWS}, {SAT2}, pairs AS (SELECT DISTINCT 1 + o_orderkey % 4694 AS a, 1 + o_custkey % 4694 AS b FROM orders),
+found AS (SELECT p.a, p.b, x.mask & ~y.mask AS w FROM pairs p JOIN masks x ON x.node = p.a JOIN masks y ON y.node = p.b)
+SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(CASE WHEN w = 0 THEN -1 ELSE 2 END AS INT) AS n,
+  CAST(CASE WHEN w = 0 THEN -1 ELSE list_min(list_filter(range(0, 16), lambda t: (w >> CAST(t AS INT)) & 1 = 1)) END AS BIGINT) AS magma_id FROM found"""
     labelled = lambda t, i, g, extra: (
         f"WITH RECURSIVE {LAWS}, {SAT2}, p AS (SELECT {extra}{i} AS i, {g} AS g FROM {t}) "
     )
@@ -472,7 +468,7 @@ FROM told"""
     out["drift_explanations"] = story
     out["drift_summary"] = f"""SELECT label, CASE WHEN label = 'equivalent' THEN 'no drift' WHEN label IN ('weaker', 'stronger') THEN 'directional drift'
   WHEN label = 'incomparable' THEN 'mismatch' WHEN label = 'invalid' THEN 'unreadable' ELSE 'inspect' END AS verdict, count(*) AS n FROM ({story}) GROUP BY ALL"""
-    small = labelled("orders", "1 + o_orderkey % 46", "1 + o_custkey % 46", "o_orderkey, ")
+    small = labelled("orders", "1 + o_orderkey % 4694", "1 + o_custkey % 4694", "o_orderkey, ")
     masked = "FROM p JOIN masks a ON a.node = i JOIN masks b ON b.node = g"
     out["implication_lookup"] = small + (
         f"SELECT o_orderkey, CASE WHEN i = g OR g = 1 OR i = 2 THEN 'true' WHEN (a.mask & ~b.mask) <> 0 THEN 'false' ELSE 'open' END AS implies {masked}"
@@ -481,7 +477,6 @@ FROM told"""
         f"SELECT CASE WHEN i = g THEN 'equivalent' ELSE {_label('i', 'g', 'a.mask', 'b.mask')} END AS label, count(*) AS n {masked} GROUP BY 1"
     )
     lab = _label("i", "g", "a.mask", "b.mask")
-    word = lambda x, y, m, k: f"CASE WHEN {x} = {y} OR {y} = 1 OR {x} = 2 THEN 'proof_true' WHEN ({m}.mask & ~{k}.mask) <> 0 THEN 'proof_false' ELSE 'unknown' END"
     out["verdict_evidence"] = small + f"""
 SELECT *, CASE label WHEN 'equal' THEN 'both map to Equation ' || intended
   WHEN 'equivalent' THEN 'derived proofs of Eq' || intended || ' => Eq' || generated || ' and Eq' || generated || ' => Eq' || intended
@@ -489,7 +484,7 @@ SELECT *, CASE label WHEN 'equal' THEN 'both map to Equation ' || intended
   WHEN 'stronger' THEN 'derived proof of Eq' || generated || ' => Eq' || intended || '; counterexample table refutes Eq' || intended || ' => Eq' || generated
   WHEN 'incomparable' THEN 'counterexample tables refute the implication in both directions'
   ELSE 'not fully resolved: forward=' || forward || ', backward=' || backward END AS evidence
-FROM (SELECT DISTINCT CAST(i AS INT) AS intended, CAST(g AS INT) AS generated, {lab} AS label, {word('i', 'g', 'a', 'b')} AS forward, {word('g', 'i', 'b', 'a')} AS backward {masked})"""
+FROM (SELECT DISTINCT CAST(i AS INT) AS intended, CAST(g AS INT) AS generated, {lab} AS label, {_word('i', 'g', 'a', 'b')} AS forward, {_word('g', 'i', 'b', 'a')} AS backward {masked})"""
     out["metric_accuracy"] = small + (
         "SELECT label, count(*) AS n, CAST(sum(CAST(same = (label IN ('equal', 'equivalent')) AS INT)) AS BIGINT) AS agree, "
         "round(avg(CAST(same = (label IN ('equal', 'equivalent')) AS INT)), 6) AS accuracy "
@@ -498,10 +493,98 @@ FROM (SELECT DISTINCT CAST(i AS INT) AS intended, CAST(g AS INT) AS generated, {
     out["crosscheck_catalogue"] = """
 WITH u AS (SELECT DISTINCT 1 + p_partkey % 4694 AS node FROM part)
 SELECT 'missing' AS check, 4694 - count(*) AS n FROM u UNION ALL SELECT 'differing', count(*) FROM u WHERE node % 5 = 0 UNION ALL SELECT 'extra', 1"""
-    out["broken_renderings"] = "SELECT notation, CAST(4694 // 47 AS BIGINT) AS n, CAST(4694 // 47 AS BIGINT) AS n_refused FROM (VALUES " + ", ".join(f"('{n}')" for n in MAKERS if n != FORMAL) + ") AS x(notation)"
-    out["laws_beyond"] = "SELECT s_suppkey, 4694 + s_suppkey * 57 AS number, 4694 + s_suppkey * 57 AS again FROM supplier"
+    out["broken_renderings"] = with_laws("SELECT notation, count(*) AS n, count(*) AS n_refused FROM laws, (VALUES " + ", ".join(f"('{n}')" for n in MAKERS) + ") AS x(notation) GROUP BY notation")
+    fives = []
+    for k in range(3):
+        for i, a in enumerate(trees(k)):
+            for j, b in enumerate(trees(5 - k)):
+                numbers = iter(range(7))
+                fives.append(f"({k},{i},{j},{_quote(_infix(_mark(a, numbers)) + ' = ' + _infix(_mark(b, numbers)))})")
+    out["laws_beyond"] = f"""
+WITH RECURSIVE rhymes(n, rhyme, used) AS (
+  SELECT 1, [0], 1 UNION ALL
+  SELECT n + 1, list_append(rhyme, x), greatest(used, x + 1) FROM rhymes, (SELECT CAST(unnest(range(0, 7)) AS INT) AS x) WHERE x <= used AND n < 7
+), tpl(lo, lr, rr, tpl) AS (VALUES {', '.join(fives)}),
+fives AS (SELECT 4694 + row_number() OVER (ORDER BY lo, lr, rr, rhyme) AS node, tpl, rhyme FROM tpl, rhymes WHERE n = 7)
+SELECT s_suppkey, 4695 + s_suppkey * 57 AS number, {_filled('tpl', 'rhyme', "['x','y','z','w','u','v','r']", 7)} AS formal, 4695 + s_suppkey * 57 AS again
+FROM supplier JOIN fives ON node = 4695 + s_suppkey * 57"""
     out["stream_labels"] = labelled("events", "1 + event_id % 4694", "1 + user_id % 4694", "") + f"SELECT {lab} AS label, count(*) AS n {masked} GROUP BY 1"
+    return out | _file_sql(lab)
+
+
+def _file_sql(lab: str) -> dict[str, str]:
+    """What comes back from the files of ``files.py``."""
+    out: dict[str, str] = {}
+    texts = f"texts AS (SELECT node, {FORMAL_TEXT} AS formal FROM {_join(FORMAL)})"
+    told = f"WITH RECURSIVE {LAWS}, {_templates(FORMAL)}, {texts}"
+    code = "[0, 0, 1, 1, 2, 2, 3, 3, 4]"  # of the nine outcome words in their order
+    out["file_law_list"] = f"{told} SELECT CAST(node AS INT) AS node, formal FROM texts"
+    out["file_lean_source"] = out["file_law_list"]
+    out["file_listing"] = with_laws(
+        " UNION ALL ".join(f"SELECT '{n}' AS notation, node || '. ' || {rendering(n)} AS line FROM {_join(n)}" for n in ("text", "text2")), "text", "text2"
+    )
+    used = f"array_to_string(list_transform(range(0, list_max(rhyme) + 1), lambda i: {LETTERS}[i + 1]), ',')"
+    out["file_catalogue"] = with_laws(
+        f"SELECT CAST(node AS INT) AS node, f.t AS formal, {rendering('tptp')} AS tptp, CAST(ord AS INT) AS \"order\", {used} AS variables, "
+        "'lawloom' AS generator, CAST(4694 AS BIGINT) AS count, 'tptp' AS representation, true AS verified "
+        f"FROM {_join('tptp')} JOIN (SELECT node AS n, {FORMAL_TEXT} AS t FROM {_join(FORMAL)}) f ON f.n = node", "tptp", FORMAL
+    )
+    out["file_json_document"] = with_laws(
+        f"SELECT CAST(node AS INT) AS node, f.t AS formal, {rendering('polish')} AS polish, 'lawloom' AS generator, 'generated' AS source, "
+        "'polish' AS representation, CAST(4694 AS BIGINT) AS count, true AS verified "
+        f"FROM {_join('polish')} JOIN (SELECT node AS n, {FORMAL_TEXT} AS t FROM {_join(FORMAL)}) f ON f.n = node", "polish", FORMAL
+    )
+    frame = ["\\documentclass{article}", "\\usepackage{amsmath,amssymb}", "\\begin{document}", "\\noindent", "\\end{document}"]
+    out["file_tex"] = with_laws(
+        f"SELECT 'Equation ' || node || ': $' || {rendering('latex')} || '$\\\\' AS line FROM {_join('latex')} UNION ALL SELECT * FROM (VALUES "
+        + ", ".join(f"({_quote(x)})" for x in frame) + ") AS x(line)", "latex"
+    )
+    out["file_lean"] = with_laws(f"SELECT {rendering('lean')} AS line FROM {_join('lean')}", "lean")
+    out["file_outcomes"] = (
+        f"SELECT CAST(row_number() OVER (PARTITION BY b.n_nationkey ORDER BY a.n_nationkey) AS INT) AS hyp, CAST(row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_nationkey) AS INT) AS concl, "
+        f"CAST({code}[1 + (a.n_nationkey * 31 + b.n_nationkey * 17) % 9] AS INT) AS status FROM nation a, nation b"
+    )
+    out["file_edges"] = (
+        f"SELECT CAST(1 + l_orderkey % 4694 AS INT) AS hyp, CAST({code}[1 + (l_suppkey + l_linenumber) % 9] AS INT) AS status, count(*) AS n, "
+        "CAST(sum(1 + l_partkey % 4694) AS BIGINT) AS concl_sum FROM lineitem GROUP BY 1, 2"
+    )
+    out["file_matrix"] = f"""WITH RECURSIVE {LAWS}, {SAT2}, s AS (
+  SELECT a.node AS hyp, CASE WHEN a.node = b.node OR b.node = 1 OR a.node = 2 THEN 1 WHEN (a.mask & ~b.mask) <> 0 THEN 0 ELSE 4 END AS status FROM masks a, masks b),
+r AS (SELECT hyp, count(*) FILTER (WHERE status = 0) AS f, count(*) FILTER (WHERE status = 1) AS t, count(*) FILTER (WHERE status = 4) AS u FROM s GROUP BY hyp)
+SELECT CAST(hyp AS INT) AS hyp, f AS n_false, t AS n_true, f AS flat_false, t AS flat_true,
+  CAST((SELECT sum(f) FROM r) AS BIGINT) AS all_false, CAST((SELECT sum(u) FROM r) AS BIGINT) AS all_unknown FROM r"""
+    out["file_selection"] = (
+        f"{told} SELECT source, CAST(id AS INT) AS id, formal FROM (SELECT 'file' AS source, 1 + c_custkey % 4694 AS id FROM customer "
+        "UNION ALL SELECT 'built-in', unnest([1, 2, 43, 4512, 168])) JOIN texts ON node = id"
+    )
+    out["file_records"] = (
+        f"WITH RECURSIVE {LAWS}, {SAT2}, p AS (SELECT c_custkey, 1 + c_custkey % 4694 AS i, 1 + (c_custkey * 13) % 4694 AS g FROM customer) "
+        f"SELECT c_custkey, {lab} AS label, CAST(i AS INT) AS intended, CAST(g AS INT) AS generated, {_word('i', 'g', 'a', 'b')} AS forward, {_word('g', 'i', 'b', 'a')} AS backward "
+        "FROM p JOIN masks a ON a.node = i JOIN masks b ON b.node = g"
+    )
+    out["file_report"] = """
+SELECT s_suppkey, CAST(1 + s_suppkey % 4694 AS INT) AS intended_id,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'invalid' WHEN s_suppkey % 3 = 0 THEN 'outside_fragment' ELSE 'in_fragment' END AS generated_status,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'none (parse failure)' WHEN s_suppkey % 3 = 0 THEN 'brute_force' ELSE 'implication_graph' END AS oracle_used
+FROM supplier"""
+    out["cli_words"] = (
+        "SELECT spec, dual, CAST(found AS INT) AS found FROM (VALUES ('43', false, 43), ('1', false, 1), ('2', false, 2), ('4', true, 5), ('5', true, 4), ('x = y', false, 2), "
+        "('x = x * y', true, 5), ('a * b = b * a', false, 43), ('4695', false, 0)) AS x(spec, dual, found)"
+    )
+    out["describe_prompts"] = "SELECT p_partkey, true AS names_law, true AS names_text FROM part"
+    out["substring_of_answers"] = "SELECT c_custkey, 'in_fragment' AS status, CAST(1 + c_custkey % 4694 AS BIGINT) AS etp_id FROM customer"
+    out["limited_rows"] = f"{told} SELECT CAST(node AS INT) AS node, formal, CAST(ord AS INT) AS \"order\" FROM texts JOIN laws USING (node) WHERE node <= 100"
+    out["same_catalogues"] = with_laws("SELECT CAST(node AS INT) AS node, true AS same FROM laws")
+    out["analyzed_renderings"] = (
+        "SELECT notation, CAST(o_orderkey % 4 AS INT) AS kind, o_orderkey % 4 IN (0, 3) AS ok, "
+        "CASE o_orderkey % 4 WHEN 1 THEN 'outside-fragment' WHEN 2 THEN 'parse-failure' ELSE '' END AS error, count(*) AS n "
+        "FROM orders, (VALUES ('latex'), ('lean'), ('text'), ('json_ast')) AS x(notation) GROUP BY ALL"
+    )
     return out
 
 
+def _word(x: str, y: str, m: str, k: str) -> str:
+    return f"CASE WHEN {x} = {y} OR {y} = 1 OR {x} = 2 THEN 'proof_true' WHEN ({m}.mask & ~{k}.mask) <> 0 THEN 'proof_false' ELSE 'unknown' END"
+
+
 ORACLE_SQL = _sql()

@@ -17,6 +17,7 @@ from ..functions.notations import NOTATIONS, notation
 from ..operators import catalogue, drift, evidence, magmas, mapping, metrics, mutations, verdicts, verify
 from ..operators.catalogue import CATALOGUE_SIZE, laws
 from ..streaming import streams
+from . import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -137,29 +138,40 @@ def magma2_satisfaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def magma3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = laws(spark).where("ord <= 1")
-    found = magmas.satisfaction(small, magmas.tables(spark, 3))
-    return found.where("holds").groupBy("node").agg(F.count("*").alias("n_tables"))
+    """In how many of the 19683 tables of size 3 each law holds."""
+    return magmas.holding_tables(laws(spark), 3)
 
 
-def refutation_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = magmas.masks(laws(spark).where("ord <= 2"))
-    left, right = found.toDF("hyp", "a"), found.toDF("concl", "b")
-    return left.join(F.broadcast(right), F.lit(True)).select("hyp", "concl", (F.col("a").bitwiseAND(F.bitwise_not("b")) != 0).alias("refuted"))
+def refutations_per_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many laws each law is told apart from by a table of size 2 in which only it holds."""
+    told = magma2_satisfaction(spark, sf_dir)
+    kinds = magmas.refuted_pairs(told).groupBy("hyp_mask").agg(F.sum("n_pairs").alias("n"))
+    own = told.groupBy(F.col("mask").alias("hyp_mask")).agg(F.count("*").alias("n_laws"))
+    each = own.join(kinds, "hyp_mask", "left").select(F.col("hyp_mask").alias("mask"), (F.coalesce("n", F.lit(0)) / F.col("n_laws")).cast("long").alias("n_refuted"))
+    return told.join(F.broadcast(each), "mask").select("node", "n_refuted")  # 65536 masks at most
 
 
 def refuted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return magmas.refuted_pairs(magma2_satisfaction(spark, sf_dir))
 
 
-def first_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _witnesses(spark: SparkSession, sf_dir: str, max_size: int) -> DataFrame:
+    """The first table in which the law of an order holds and that of its customer does not; -1 if none."""
     orders = _table(spark, sf_dir, "orders")
-    pairs = orders.select((1 + F.col("o_orderkey") % 46).cast("int").alias("a"), (1 + F.col("o_custkey") % 46).cast("int").alias("b")).distinct()
-    found = magmas.brute_force(pairs, laws(spark))
+    pairs = orders.select(_node(F.col("o_orderkey")).alias("a"), _node(F.col("o_custkey")).alias("b")).distinct()
+    found = magmas.brute_force(pairs, laws(spark), max_size=max_size)
     none = lambda c: F.coalesce(F.col(f"witness_a_not_b.{c}"), F.lit(-1)).alias(c)
     return found.select("a", "b", none("n"), none("magma_id"))
 
 
+def first_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _witnesses(spark, sf_dir, 3)
+
+
+def first_witness_size2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _witnesses(spark, sf_dir, 2)
+
+
 def _line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem")
     return lines.select(_node(F.col("l_orderkey")).alias("intended"), _node(F.col("l_partkey")).alias("generated"))
@@ -281,25 +293,23 @@ def law_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of laws of at most two operations."""
     orders = _table(spark, sf_dir, "orders")
-    small = lambda c: (1 + F.col(c) % 46).cast("int")
-    return orders.select("o_orderkey", small("o_orderkey").alias("intended"), small("o_custkey").alias("generated"))
+    return orders.select("o_orderkey", _node(F.col("o_orderkey")).alias("intended"), _node(F.col("o_custkey")).alias("generated"))
 
 
-def _small_edges(spark: SparkSession) -> DataFrame:
-    return evidence.edges(evidence.plain(spark).where("hyp <= 46")).where("concl <= 46 and status <> 4")
+def _settled_edges(spark: SparkSession) -> DataFrame:
+    return evidence.edges(evidence.plain(spark)).where("status <> 4")
 
 
 def implication_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an edge list says on each pair, by an equi-join on both numbers."""
-    told = verdicts.implies(_order_pairs(spark, sf_dir), _small_edges(spark), "intended", "generated", "told")
+    told = verdicts.implies(_order_pairs(spark, sf_dir), _settled_edges(spark), "intended", "generated", "told")
     word = F.when(F.col("told"), "true").when(~F.col("told"), "false").otherwise("open")
     return told.select("o_orderkey", word.alias("implies"))
 
 
 def edge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = verdicts.edge_relations(_order_pairs(spark, sf_dir), _small_edges(spark))
+    told = verdicts.edge_relations(_order_pairs(spark, sf_dir), _settled_edges(spark))
     return told.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -334,17 +344,16 @@ def crosscheck_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broken_renderings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many renderings without their last character are refused, by notation.
 
-    Under adversarial names a shorter name is still a name, so that notation is
-    left out.
+    Under adversarial names a shorter name is still a name; there the first
+    operator goes, or the equality sign if there is none.
     """
-    some = laws(spark).where("node % 47 = 0")
     out = None
     for n in NOTATIONS:
-        if n == "confusable_vars":
-            continue
         form = notation(n)
         text = F.expr("substring(t, 1, length(t) - 1)")
-        cut = some.select(form.rendered(F.col("lhs"), F.col("rhs"), F.col("names"), F.col("node")).alias("t")).select(text.alias("t"))
+        if n == "confusable_vars":
+            text = F.when(F.contains("t", F.lit("◇")), F.regexp_replace("t", "^([^◇]*) ◇ ", "$1 ")).otherwise(F.replace("t", F.lit("="), F.lit("")))
+        cut = laws(spark).select(form.rendered(F.col("lhs"), F.col("rhs"), F.col("names"), F.col("node")).alias("t")).select(text.alias("t"))
         refused = F.sum(form.read_back(F.col("t")).isNull().cast("long"))
         part = cut.agg(F.count("*").alias("n"), refused.alias("n_refused")).select(F.lit(n).alias("notation"), "n", "n_refused")
         out = part if out is None else out.union(part)
@@ -353,10 +362,10 @@ def broken_renderings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def laws_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laws of five operations by their numbers, and their numbers again by their texts."""
-    given = _table(spark, sf_dir, "supplier").select("s_suppkey", (4694 + F.col("s_suppkey") * 57).alias("number"))
+    given = _table(spark, sf_dir, "supplier").select("s_suppkey", (4695 + F.col("s_suppkey") * 57).alias("number"))
     spoken = mapping.laws_by_number(given, "number").select("s_suppkey", "number", F.col("law.formal").alias("formal"))
     told = mapping.normalize_dialect(spoken, "formal")
-    return told.select("s_suppkey", "number", F.col("normalized.etp_id").alias("again"))
+    return told.select("s_suppkey", "number", "formal", F.col("normalized.etp_id").alias("again"))
 
 
 def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,10 +385,10 @@ QUERIES: dict[str, Query] = {
     for q in (
         shape_enumeration, rhyme_enumeration, catalog_all, catalog_generated, catalog_by_order, catalog_by_variables, law_counts, catalog_dual,
         render_length_stats, distinct_check, round_trips, words_per_law, canonical_key_lookup, resolve_numbers,
-        magma2_satisfaction, magma3_counts, refutation_order2, refuted_pairs, first_witness, verdict_histogram,
+        magma2_satisfaction, magma3_counts, refutations_per_law, refuted_pairs, first_witness, first_witness_size2, verdict_histogram,
         verdict_histogram_derived, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
         strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, dialect_lookup,
         drift_explanations, law_mutations, implication_lookup, edge_relations, verdict_evidence, drift_summary,
         metric_accuracy, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels,
     )
-} | {f"catalogue_{n}": catalogue_of(n) for n in ("text", "text2")} | {f"render_{n}": render_of(n) for n in NOTATIONS}
+} | files.QUERIES | {f"catalogue_{n}": catalogue_of(n) for n in ("text", "text2")} | {f"render_{n}": render_of(n) for n in NOTATIONS}

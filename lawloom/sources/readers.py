@@ -82,11 +82,12 @@ def read_matrix(spark: SparkSession, path: str, size: int = CATALOGUE_SIZE) -> D
     """The packed matrix of a flat file, one byte per ordered pair, a row per hypothesis."""
     held = spark.read.format("binaryFile").load(path).select("content", "length")
     fine = F.when(F.col("length") != size * size, F.raise_error(F.lit("the file does not hold a square matrix")).cast("array<int>"))
-    fine = fine.otherwise(F.sequence(F.lit(1), F.lit(size)))
-    rows = held.select("content", F.explode(fine).alias("hyp"))
-    row = F.hex(F.substr(F.col("content"), ((F.col("hyp") - 1) * size + 1).cast("int"), F.lit(size)))
-    codes = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substr(F.col("r"), (i * 2 + 2).cast("int"), F.lit(1)).cast("tinyint"))
-    return rows.select(F.col("hyp").cast("int").alias("hyp"), row.alias("r")).select("hyp", codes.alias("statuses"))
+    fine = fine.otherwise(F.sequence(F.lit(0), F.lit(size - 1)))
+    # The file is cut into rows before it is made into rows, which would each hold all of it.
+    parts = F.transform(fine, lambda i: F.substr(F.col("content"), i * size + 1, F.lit(size)))
+    rows = held.select(F.posexplode(parts).alias("p", "part")).select((F.col("p") + 1).alias("hyp"), "part")
+    codes = F.transform(F.split(F.decode("part", "ISO-8859-1"), ""), lambda c: F.ascii(c).cast("tinyint"))
+    return rows.repartition("hyp").select(F.col("hyp").cast("int").alias("hyp"), codes.alias("statuses"))
 
 
 def read_lean(spark: SparkSession, path: str) -> DataFrame:

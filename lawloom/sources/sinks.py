@@ -31,11 +31,15 @@ def write_catalogue(rows: DataFrame, form: Notation, path: str, verified: bool =
     rows.sparkSession.createDataFrame([tuple(meta.values())], list(meta)).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
-def json_document(rows: DataFrame, form: Notation) -> DataFrame:
+def json_document(rows: DataFrame, form: Notation, verified: bool = True) -> DataFrame:
     """One row, one column: the whole catalogue as a JSON document ``{meta, equations}``."""
     each = F.struct("node", "formal", F.col("rendering").alias(form.name), "order", "variables")
     every = rows.agg(F.array_sort(F.collect_list(each)).alias("equations"), F.count("*").alias("count"))
-    meta = F.struct(F.lit("lawloom").alias("generator"), "count", F.lit(form.name).alias("representation"))
+    told = {"generator": "lawloom", "source": "generated", "representation": form.name, "style": str(form.style)}
+    meta = F.struct(
+        *(F.lit(v).alias(k) for k, v in told.items()), "count", F.date_format(F.to_utc_timestamp(F.now(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"),
+        F.lit(verified).alias("verified"),
+    )
     return every.select(F.to_json(F.struct(meta.alias("meta"), "equations")).alias("value"))
 
 
@@ -75,6 +79,31 @@ def write_matrix(matrix: DataFrame, path: str) -> None:
     counts.withColumn("orientation", F.lit("row = hypothesis, column = conclusion")).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
+def write_matrix_file(matrix: DataFrame, path: str) -> None:
+    """The packed matrix as a flat file, one byte per ordered pair, a row per hypothesis.
+
+    A single file in row order, so it is put together on the driver; its size
+    (22 MB) is fixed by the catalogue.  Raises if a row is missing.
+    """
+    spark = matrix.sparkSession
+    row = F.encode(F.array_join(F.transform("statuses", lambda s: F.char(s.cast("long"))), ""), "ISO-8859-1")
+    held = matrix.select("hyp", row.alias("bytes")).orderBy("hyp").toArrow()
+    if held["hyp"].to_pylist() != list(range(1, len(held) + 1)):
+        raise ValueError("the matrix lacks rows")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for piece in held["bytes"].to_pylist():
+            out.write(bytearray(piece))
+    finally:
+        out.close()
+
+
+def write_records(rows: DataFrame, path: str) -> None:
+    """JSON lines, nulls spelled out."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_edges(edge_rows: DataFrame, path: str, buckets: int = 16) -> None:
     """The edge table, partitioned by ranges of hypotheses so that lookups read few files."""
     keyed = edge_rows.withColumn("hyp_range", F.floor(F.col("hyp") / F.lit(512)).cast("int"))

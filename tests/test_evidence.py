@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zipfile
+from itertools import product
 
 import numpy as np
 import pytest
@@ -40,6 +41,35 @@ def test_witnesses_refute(spark):
     assert got[2, 7]["a_implies_b"] is None and got[2, 7]["b_implies_a"] is None
 
 
+def _plain_holds(lhs, rhs, tab, n):
+    """Every value of every variable, by a plain stack."""
+    names = max([*lhs, *rhs]) + 1
+
+    def value(term, given):
+        stack = []
+        for t in term:
+            if t < 0:
+                b, a = stack.pop(), stack.pop()
+                stack.append(tab[a * n + b])
+            else:
+                stack.append(given[t])
+        return stack[0]
+
+    return all(value(lhs, g) == value(rhs, g) for g in product(range(n), repeat=names))
+
+
+def test_tables_of_size_three_and_first_witnesses_by_trying_all(spark):
+    """Counts and witnesses over all 19683 tables in counting order, not only one of each class."""
+    some = catalogue.laws(spark).where("node in (3, 4, 5, 8, 43)")
+    kept = {r["node"]: (r["lhs"], r["rhs"]) for r in some.select("node", "lhs", "rhs").collect()}
+    true = {(node, n): [k for k, tab in enumerate(product(range(n), repeat=n * n)) if _plain_holds(*law, tab, n)] for node, law in kept.items() for n in (2, 3)}
+    assert {r["node"]: r["n_tables"] for r in magmas.holding_tables(some, 3).collect()} == {node: len(true[node, 3]) for node in kept}
+    pairs = spark.createDataFrame([(a, b) for a in kept for b in kept], "a int, b int")
+    for r in magmas.brute_force(pairs, catalogue.laws(spark)).collect():
+        first = next(((n, k) for n in (2, 3) for k in true[r["a"], n] if k not in set(true[r["b"], n])), None)
+        assert (r["witness_a_not_b"] and (r["witness_a_not_b"]["n"], r["witness_a_not_b"]["magma_id"])) == first
+
+
 def test_derived_evidence_is_consistent(spark):
     matrix = evidence.derive(spark)
     assert {r["failures"] for r in evidence.checks(matrix).collect()} == {0}
