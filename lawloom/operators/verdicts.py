@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evidence import PROOF_FALSE, PROOF_TRUE, STATUSES, with_status
+from ..sources.scratch import scratch
+from . import models, rewriting
+from .evidence import PROOF_FALSE, PROOF_TRUE, STATUSES, UNKNOWN, with_status
 from .mapping import MAPPED, resolve
 
 #: What an unmapped side is told, worded as users know it.  Fixed value.
@@ -45,6 +47,46 @@ def verdict_pairs(pairs: DataFrame, matrix: DataFrame, intended: str = "intended
     return both.withColumn("label", label(F.col(intended), F.col(generated), F.col("forward"), F.col("backward")))
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled_edges(open_pairs: DataFrame, laws_df: DataFrame) -> DataFrame:
+    """``(hyp, concl, status, chain, witness)`` of those ``open_pairs(hyp, concl)`` that rewriting proves or a larger table refutes.
+
+    Proofs are tried first; tables are searched for the pairs left over.  A
+    proof has its ``chain`` of terms, a refutation its ``witness`` table; both
+    were checked by other code than found them, and a pair that fails the check
+    is no edge.  Each row of the result is a distinct pair.
+    """
+    asked = _stored(open_pairs.select("hyp", "concl").where("hyp is not null and concl is not null").distinct(), "open-pairs")
+    proved = rewriting.replayed(rewriting.proofs(asked, laws_df), laws_df).where("valid").select("hyp", "concl", "chain")
+    proved = _stored(proved, "proved-pairs")
+    left = asked.join(proved.select("hyp", "concl"), ["hyp", "concl"], "left_anti")
+    found = models.refuted(models.counterexamples(left, laws_df), laws_df).where("valid").select("hyp", "concl", "witness")
+    found = found.withColumns({"status": F.lit(PROOF_FALSE), "chain": F.lit(None).cast("array<array<int>>")})
+    every = proved.withColumns({"status": F.lit(PROOF_TRUE), "witness": F.lit(None).cast("struct<n:int,tab:array<int>>")})
+    return _stored(every.select("hyp", "concl", "status", "chain", "witness").unionByName(found), "settled-pairs")
+
+
+def settled_pairs(pairs: DataFrame, matrix: DataFrame, laws_df: DataFrame, intended: str = "intended", generated: str = "generated") -> DataFrame:
+    """As ``verdict_pairs``, where implications that the matrix leaves open are settled by rewriting or larger tables if they can be.
+
+    Adds ``found_forward, found_backward``: true where the status comes from there.
+    """
+    told = verdict_pairs(pairs, matrix, intended, generated)
+    i, g = F.col(intended).cast("int"), F.col(generated).cast("int")
+    ways = F.array(F.struct(i.alias("hyp"), g.alias("concl"), F.col("forward").alias("s")), F.struct(g.alias("hyp"), i.alias("concl"), F.col("backward").alias("s")))
+    edges = settled_edges(told.select(F.explode(ways).alias("w")).where(F.col("w.s") == UNKNOWN).select("w.hyp", "w.concl"), laws_df)
+    for status, a, b in (("forward", intended, generated), ("backward", generated, intended)):
+        edge = edges.select(F.col("hyp").alias("__h"), F.col("concl").alias("__c"), F.col("status").alias("__s"))
+        told = told.join(edge, (F.col(a) == F.col("__h")) & (F.col(b) == F.col("__c")), "left")
+        told = told.withColumns({f"found_{status}": F.col("__s").isNotNull(), status: F.coalesce("__s", status).cast("tinyint")}).drop("__h", "__c", "__s")
+    return told.withColumn("label", label(F.col(intended), F.col(generated), F.col("forward"), F.col("backward")))
+
+
 def _said(template: str, **values: Column) -> Column:
     """Text with columns put in for names in braces."""
     parts, rest = [], template

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, terms
 from ..functions.notations import NOTATIONS, notation
-from ..operators import catalogue, drift, evidence, magmas, mapping, metrics, mutations, verdicts, verify
+from ..operators import catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, rewriting, verdicts, verify
 from ..operators.catalogue import CATALOGUE_SIZE, laws
 from ..streaming import streams
 from . import files
@@ -186,6 +186,32 @@ def verdict_histogram_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.histogram(verdicts.verdict_pairs(_line_pairs(spark, sf_dir), evidence.derive(spark)))
 
 
+def _open_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(hyp, concl)``: implications between the laws of orders and their customers that tables of sizes 2 and 3 and one-step rules leave open."""
+    told = verdicts.verdict_pairs(_order_pairs(spark, sf_dir).select("intended", "generated").distinct(), evidence.derive(spark))
+    one = told.where(F.col("forward") == evidence.UNKNOWN).select(F.col("intended").alias("hyp"), F.col("generated").alias("concl"))
+    return one.union(told.where(F.col("backward") == evidence.UNKNOWN).select("generated", "intended")).distinct()
+
+
+def rewriting_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open implications that rewriting proves, with the length of the chain and whether it replays."""
+    proved = rewriting.proofs(_open_edges(spark, sf_dir), laws(spark)).where("proved")
+    return rewriting.replayed(proved, laws(spark)).select("hyp", "concl", F.col("steps").cast("long").alias("steps"), "valid")
+
+
+def model_counterexamples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open implications that a linear table or a searched table of size 4 refutes, the table, and whether it does."""
+    found = models.counterexamples(_open_edges(spark, sf_dir), laws(spark)).where("witness is not null")
+    told = models.refuted(found, laws(spark))
+    return told.select("hyp", "concl", F.col("witness.n").alias("n"), F.array_join(F.transform("witness.tab", lambda x: x.cast("string")), "").alias("tab"), "valid")
+
+
+def verdict_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all orders' pairs on the whole evidence: matrix, rewriting and larger tables; and how many rest on the latter two."""
+    told = verdicts.settled_pairs(_order_pairs(spark, sf_dir), evidence.derive(spark), laws(spark))
+    return told.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("found_forward") | F.col("found_backward")).alias("n_settled"))
+
+
 def verdict_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select(
         "o_orderpriority", _node(F.col("o_orderkey")).alias("intended"), _node(F.col("o_custkey")).alias("generated")
@@ -386,7 +412,7 @@ QUERIES: dict[str, Query] = {
         shape_enumeration, rhyme_enumeration, catalog_all, catalog_generated, catalog_by_order, catalog_by_variables, law_counts, catalog_dual,
         render_length_stats, distinct_check, round_trips, words_per_law, canonical_key_lookup, resolve_numbers,
         magma2_satisfaction, magma3_counts, refutations_per_law, refuted_pairs, first_witness, first_witness_size2, verdict_histogram,
-        verdict_histogram_derived, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
+        verdict_histogram_derived, rewriting_proofs, model_counterexamples, verdict_settled, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
         strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, dialect_lookup,
         drift_explanations, law_mutations, implication_lookup, edge_relations, verdict_evidence, drift_summary,
         metric_accuracy, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels,
