@@ -8,8 +8,9 @@ can be similar: with the elements in order of frequency, two similar sets share
 one of their rarest, at places that leave enough elements behind them.  A
 member outside the main component of its slot is not similar to the head, so
 its rarest elements are not the head's, and few others have them.  Members
-that share such an element are a slot again.  If its pairs are few for the number of entries they are compared,
-else heads are taken once more, and so on.
+that share such an element are a slot again.  If comparing all their pairs is
+no more work than a round, they are compared, else heads are taken once more,
+and so on.
 
 What is joined to many rows of one key is a table by then, so that adaptive
 execution can split those rows over tasks.
@@ -34,6 +35,8 @@ from .components import connected_components
 ROUNDS = 6
 #: Open pairs for each entry, up to which they are compared at once.
 OPEN = 4
+#: Elements of both sets of all open pairs, up to which they are compared at once: half a gigabyte, less work than a round of heads.
+WORK = 1 << 26
 #: Words of 64 bits in the bitmap of wanted elements: 8 MB, whatever their number.
 BITMAP_WORDS = 1 << 20
 
@@ -121,14 +124,14 @@ def _refined(nodes: DataFrame, sets: DataFrame, needed: Needed) -> DataFrame:
     return every.join(materialise(mixed, "meeting-mixed"), "slot", "left_semi")
 
 
-def components_inside(entries: DataFrame, sets: DataFrame, needed: Needed, rounds: int = ROUNDS, most: int = OPEN) -> DataFrame:
+def components_inside(entries: DataFrame, sets: DataFrame, needed: Needed, rounds: int = ROUNDS, most: int = OPEN, work: int = WORK) -> DataFrame:
     """``entries(slot, node, weight, size)`` to ``(node, root)``; nodes without a link do not appear.
 
     ``sets(node, own)`` has each node's elements, ``size`` distinct longs.  Nodes u and
     v are similar if they share ``needed(size of u, size of v)`` elements at
     least; it must not fall when a size grows.  The heaviest member is a
     slot's head.  ``rounds`` of heads at most; ``most`` open pairs for each
-    entry are compared at once.
+    entry, or pairs of ``work`` elements in all, are compared at once.
     """
     left = entries.select("slot", "node", "weight", F.col("size").cast("int").alias("size"), F.col("node").alias("root"))
     links, n_entries = None, None
@@ -142,11 +145,15 @@ def components_inside(entries: DataFrame, sets: DataFrame, needed: Needed, round
         links = roots.toDF("u", "v")
         left = left.drop("root").join(roots, "node", "left").select("slot", "node", "weight", "size", F.coalesce("root", "node").alias("root"))
         refined = materialise(_refined(_open_nodes(left), sets, needed), "meeting-refined")
-        groups = refined.groupBy("slot", "root").agg(F.count("*").alias("c")).groupBy("slot")
-        groups = groups.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        still = groups.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+        groups = refined.groupBy("slot", "root").agg(F.count("*").alias("c"), F.sum("size").alias("held")).groupBy("slot")
+        groups = groups.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.sum("held").alias("held"), F.sum(F.col("c") * F.col("held")).alias("within"))
+        # A member meets all those of its slot that have another root, and brings its elements to each.
+        met = groups.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum((F.col("n") * F.col("held") - F.col("within")).cast("double"))).first()
+        still = met[0] or 0
         if not still:
             return roots
+        if met[1] <= work:
+            break
         n_entries = n_entries or entries.count()
         if still <= most * n_entries or turn + 1 == rounds:
             break
