@@ -98,7 +98,7 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
     ``keeper`` is the smallest ``doc_id`` that has the line's template.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(spark, megabytes=4)
     narrow = _narrow(docs)
     enough = F.col("support") >= F.when(F.col("long"), min(recurring, LONG_RECURRING)).otherwise(recurring)
     seen = materialise(narrow.mapInArrow(_occurrences, "doc_id long, text_key long, leaf long, line long, long boolean"), "lines-occurrences")
@@ -178,6 +178,7 @@ def drop_lines(docs: DataFrame, recurring: int = RECURRING, broadcast_lines: int
     spark = docs.sparkSession
     added = free(docs.columns, "n_lines", "n_dropped")
     seen, dropped = templates(docs, recurring)
+    arrow_batches(spark, megabytes=4)  # comparing lines has set its own
     columns, at = docs.columns, docs.columns.index("text")
     result = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
     names = [f"c{i}" for i in range(len(result))]
