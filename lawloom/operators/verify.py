@@ -86,11 +86,11 @@ def words(column: str = "rendering") -> Column:
     return F.size(F.split(F.trim(F.col(column)), r"\s+"))
 
 
-def all_lengths(spark: SparkSession) -> DataFrame:
+def all_lengths(laws_df: DataFrame) -> DataFrame:
     """``(notation, least, mean, most)`` over the seventeen notations in one pass over the laws."""
     lhs, rhs, names = F.col("lhs"), F.col("rhs"), F.col("names")
     each = F.array(*(F.struct(F.lit(n).alias("notation"), F.length(notation(n).rendered(lhs, rhs, names)).alias("size")) for n in NOTATIONS))
-    sizes = laws(spark).select(F.explode(each).alias("e")).select("e.*")
+    sizes = laws_df.select(F.explode(each).alias("e")).select("e.*")
     return sizes.groupBy("notation").agg(F.min("size").alias("least"), F.round(F.avg("size"), 1).alias("mean"), F.max("size").alias("most"))
 
 

@@ -25,6 +25,11 @@ def _node(key: Column) -> Column:
     return (1 + key % CATALOGUE_SIZE).cast("int")
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of laws that orders name, 4694 at most."""
+    return F.broadcast(_table(spark, sf_dir, "orders").select(_node(F.col("o_orderkey")).alias("node")).distinct())
+
+
 def _outcome(key: Column) -> Column:
     """One of the nine outcome words by a key."""
     return F.element_at(F.array(*map(F.lit, OUTCOMES)), (1 + key % len(OUTCOMES)).cast("int"))
@@ -42,7 +47,7 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name in ("text", "text2"):
         path = scratch(spark, f"listing-{name}")
-        sinks.write_listing(verify.build_rows(spark, name), path)
+        sinks.write_listing(verify.build_rows(spark, name).join(_named(spark, sf_dir), "node", "left_semi"), path)
         part = spark.read.text(path).select(F.lit(name).alias("notation"), F.col("value").alias("line"))
         out = part if out is None else out.union(part)
     return out
@@ -70,14 +75,14 @@ def file_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_tex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the document, one for each law and its frame."""
     path = scratch(spark, "tex")
-    sinks.write_tex(verify.build_rows(spark, "latex"), path)
+    sinks.write_tex(verify.build_rows(spark, "latex").join(_named(spark, sf_dir), "node", "left_semi"), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 def file_lean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations of the file that stands alone."""
     path = scratch(spark, "lean")
-    sinks.write_lean(verify.build_rows(spark, "lean"), path, LeanStyle())
+    sinks.write_lean(verify.build_rows(spark, "lean").join(_named(spark, sf_dir), "node", "left_semi"), path, LeanStyle())
     return spark.read.text(path).where(F.startswith("value", F.lit("example"))).select(F.col("value").alias("line"))
 
 
@@ -160,9 +165,13 @@ def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cli_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words as a command line has them, resolved to numbers; a star asks for the dual."""
-    words = ["43", "[1,", "2]", "*4", "* 5", "x = y", "*x = x * y", "a * b = b * a", "4695", " "]
-    return mapping.find(readers.specs(spark, words)).select("spec", "dual", F.coalesce("found", F.lit(0)).alias("found"))
+    """Suppliers' keys as the words of a command line, resolved to numbers; a star asks for the dual."""
+    key = F.col("s_suppkey").cast("string")
+    ways = [F.concat(F.lit("["), key, F.lit(",")), F.concat(F.lit("*"), key), F.concat(F.lit("* "), key, F.lit("]")), F.concat(F.lit("4695"), key), F.lit(" "), F.lit("*x = x * y")]
+    word = F.element_at(F.array(*ways), (1 + F.col("s_suppkey") % len(ways)).cast("int"))
+    words = _table(spark, sf_dir, "supplier").select(word.alias("word"))
+    found = mapping.find(readers.specs_of(words, "word").distinct())
+    return found.select("spec", "dual", F.coalesce("found", F.lit(0)).alias("found"))
 
 
 def named_table_laws(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,28 @@ def _key_rows(source: str = "laws") -> str:
     )
 
 
+def _duals() -> str:
+    """node, dual_node."""
+    mirrored = []
+    for _, k, i, j, a, b in _pairs():
+        flip = lambda t: None if t is None else (flip(t[1]), flip(t[0]))
+        ma, mb = flip(a), flip(b)
+        n1, n2 = iter(range(6)), iter(range(6))
+        one = _infix(_mark(ma, n1)) + " = " + _infix(_mark(mb, n1))
+        two_l = _mark(mb, n2)
+        two = _infix(two_l) + " = " + _infix(_mark(ma, n2))
+        mirrored.append(f"({k},{i},{j},{_size_of(b)},{_quote(one)},{_quote(two)})")
+    return f"""SELECT CAST(d.node AS INT) AS node, CAST(k.node AS INT) AS dual_node FROM (
+  SELECT node, least({_filled('one', 'c1')}, {_filled('two', 'c2')}) AS dual_key FROM (
+    SELECT node, one, two, {_canonical('b1')} AS c1, {_canonical('b2')} AS c2 FROM (
+      SELECT node, one, two, list_reverse(rhyme[:lo + 1]) || list_reverse(rhyme[lo + 2:]) AS b1, list_reverse(rhyme[lo + 2:]) || list_reverse(rhyme[:lo + 1]) AS b2
+      FROM laws JOIN (VALUES {', '.join(mirrored)}) AS m(lo, lr, rr, ro, one, two) USING (lo, lr, ro, rr)))
+) d JOIN ({_key_rows()}) k ON k.canonical_key = d.dual_key"""
+
+
+DUALS = _duals()
+
+
 def _value(tree, leaf: int, cell: Callable[[str, str], str]) -> tuple[str, int]:
     """SQL for a term's value; leaves are v1, v2, ..."""
     if tree is None:
@@ -319,6 +341,25 @@ def _label(i: str, g: str, mi: str, mg: str) -> str:
     )
 
 
+#: Rows of all laws, with the column that has the law's number.
+COUNTED = dict.fromkeys(
+    (
+        "catalog_all", "catalog_generated", "catalog_dual", "catalogue_text", "catalogue_text2", "magma2_satisfaction", "refutations_per_law",
+        "file_law_list", "file_lean_source", "file_catalogue", "file_json_document", "limited_rows", "same_catalogues",
+    ),
+    "node",
+) | {"file_matrix": "hyp"}
+#: The number of the law that an order names, those numbers, and the catalogue's rows of them.
+ORDERED = "1 + o_orderkey % 4694"
+USED = f"(SELECT {ORDERED} FROM orders)"
+SOME = f"(SELECT * FROM laws WHERE node IN {USED})"
+
+
+def _counted(sql: str, key: str) -> str:
+    """The rows of ``sql``, and how many orders name each law."""
+    return f"SELECT q.*, coalesce(u.n, 0) AS n_orders FROM ({sql}) q LEFT JOIN (SELECT {ORDERED} AS named, count(*) AS n FROM orders GROUP BY 1) u ON u.named = q.{key}"
+
+
 def _sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["shape_enumeration"] = """
@@ -330,33 +371,20 @@ u2 AS (SELECT * FROM u1 UNION ALL SELECT * FROM s2),
 s3 AS (SELECT 3 AS ord, row_number() OVER (ORDER BY a.ord, a.rank, b.rank) - 1 AS rank, '1' || a.bits || b.bits AS bits FROM u2 a, u2 b WHERE a.ord + b.ord = 2),
 u3 AS (SELECT * FROM u2 UNION ALL SELECT * FROM s3),
 s4 AS (SELECT 4 AS ord, row_number() OVER (ORDER BY a.ord, a.rank, b.rank) - 1 AS rank, '1' || a.bits || b.bits AS bits FROM u3 a, u3 b WHERE a.ord + b.ord = 3)
-SELECT CAST(ord AS INT) AS ord, CAST(rank AS INT) AS rank, bits FROM (SELECT * FROM u3 UNION ALL SELECT * FROM s4)"""
-    out["rhyme_enumeration"] = f"WITH RECURSIVE {LAWS} SELECT CAST(n AS INT) AS length, array_to_string(rhyme, ',') AS rhyme FROM rhymes"
+SELECT CAST(ord AS INT) AS ord, CAST(rank AS INT) AS rank, bits, coalesce(n, 0) AS n_orders FROM (SELECT * FROM u3 UNION ALL SELECT * FROM s4)
+LEFT JOIN (""" + with_laws(f"SELECT lo, lr, count(*) AS n FROM laws JOIN orders ON node = {ORDERED} GROUP BY ALL") + """) ON lo = ord AND lr = rank"""
+    out["rhyme_enumeration"] = f"WITH RECURSIVE {LAWS} SELECT CAST(r.n AS INT) AS length, array_to_string(r.rhyme, ',') AS rhyme, coalesce(u.n, 0) AS n_orders FROM rhymes r LEFT JOIN (SELECT rhyme, count(*) AS n FROM laws JOIN orders ON node = {ORDERED} GROUP BY rhyme) u ON u.rhyme = r.rhyme"
     out["catalog_all"] = with_laws(
         f"SELECT CAST(node AS INT) AS node, formal, canonical_key, CAST(ord AS INT) AS ord, CAST(list_max(rhyme) + 1 AS INT) AS n_vars FROM ({_key_rows()})", FORMAL
     )
     out["catalog_generated"] = out["catalog_all"]
-    out["catalog_by_order"] = with_laws("SELECT CAST(ord AS INT) AS \"order\", count(*) AS n_laws FROM laws GROUP BY ord")
-    out["catalog_by_variables"] = with_laws("SELECT CAST(list_max(rhyme) + 1 AS INT) AS n_vars, count(*) AS n_laws FROM laws GROUP BY 1")
-    out["law_counts"] = with_laws("SELECT CAST(ord AS INT) AS ord, count(*) AS n_laws, min(node) AS first_node FROM laws GROUP BY ord")
-    mirrored = []
-    for _, k, i, j, a, b in _pairs():
-        flip = lambda t: None if t is None else (flip(t[1]), flip(t[0]))
-        ma, mb = flip(a), flip(b)
-        n1, n2 = iter(range(6)), iter(range(6))
-        one = _infix(_mark(ma, n1)) + " = " + _infix(_mark(mb, n1))
-        two_l = _mark(mb, n2)
-        two = _infix(two_l) + " = " + _infix(_mark(ma, n2))
-        mirrored.append(f"({k},{i},{j},{_size_of(b)},{_quote(one)},{_quote(two)})")
-    out["catalog_dual"] = with_laws(
-        f"""SELECT CAST(d.node AS INT) AS node, CAST(k.node AS INT) AS dual_node FROM (
-  SELECT node, least({_filled('one', 'c1')}, {_filled('two', 'c2')}) AS dual_key FROM (
-    SELECT node, one, two, {_canonical('b1')} AS c1, {_canonical('b2')} AS c2 FROM (
-      SELECT node, one, two, list_reverse(rhyme[:lo + 1]) || list_reverse(rhyme[lo + 2:]) AS b1, list_reverse(rhyme[lo + 2:]) || list_reverse(rhyme[:lo + 1]) AS b2
-      FROM laws JOIN (VALUES {', '.join(mirrored)}) AS m(lo, lr, rr, ro, one, two) USING (lo, lr, ro, rr)))
-) d JOIN ({_key_rows()}) k ON k.canonical_key = d.dual_key""",
-        FORMAL,
+    out["catalog_by_order"] = with_laws(f"SELECT CAST(ord AS INT) AS \"order\", count(*) AS n_laws FROM laws JOIN orders ON node = {ORDERED} GROUP BY ord")
+    out["catalog_by_variables"] = with_laws(f"SELECT CAST(list_max(rhyme) + 1 AS INT) AS n_vars, count(*) AS n_laws FROM laws JOIN orders ON node = {ORDERED} GROUP BY 1")
+    out["law_counts"] = with_laws(
+        f"SELECT CAST(ord AS INT) AS ord, count(*) AS n_laws, min(node) AS first_node, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_orders "
+        f"FROM laws LEFT JOIN (SELECT {ORDERED} AS node, count(*) AS n FROM orders GROUP BY 1) USING (node) GROUP BY ord"
     )
+    out["catalog_dual"] = with_laws(DUALS, FORMAL)
     for name in MAKERS:
         out[f"render_{name}"] = with_laws(
             f"SELECT CAST(node AS INT) AS node, {rendering(name)} AS rendering FROM {_join(name)} "
@@ -368,12 +396,12 @@ SELECT CAST(ord AS INT) AS ord, CAST(rank AS INT) AS rank, bits FROM (SELECT * F
             f"SELECT CAST(node AS INT) AS node, f.t AS formal, {rendering(name)} AS rendering, CAST(ord AS INT) AS \"order\" "
             f"FROM {_join(name)} JOIN (SELECT node AS n, {FORMAL_TEXT} AS t FROM {_join(FORMAL)}) f ON f.n = node", name, FORMAL
         )
-    every = " UNION ALL ".join(f"SELECT '{n}' AS notation, node, {rendering(n)} AS r FROM {_join(n)}" for n in MAKERS)
+    every = " UNION ALL ".join(f"SELECT '{n}' AS notation, node, {rendering(n)} AS r FROM {_join(n, SOME)}" for n in MAKERS)
     out["render_length_stats"] = with_laws(
         f"SELECT notation, CAST(min(length(r)) AS INT) AS least, round(avg(length(r)), 1) AS mean, CAST(max(length(r)) AS INT) AS most FROM ({every}) GROUP BY notation", *MAKERS
     )
     out["distinct_check"] = with_laws(f"SELECT notation, count(*) AS n_laws, count(DISTINCT r) AS n_distinct FROM ({every}) GROUP BY notation", *MAKERS)
-    out["round_trips"] = with_laws("SELECT notation, (SELECT count(*) FROM laws) AS n_ok FROM (VALUES " + ", ".join(f"('{n}')" for n in MAKERS) + ") AS x(notation)")
+    out["round_trips"] = with_laws(f"SELECT notation, (SELECT count(*) FROM {SOME}) AS n_ok FROM (VALUES " + ", ".join(f"('{n}')" for n in MAKERS) + ") AS x(notation)")
     out["words_per_law"] = with_laws(
         "SELECT notation, CAST(min(len(string_split(r, ' '))) AS INT) AS least, round(avg(len(string_split(r, ' '))), 1) AS mean, "
         f"CAST(max(len(string_split(r, ' '))) AS INT) AS most FROM ({every}) WHERE notation IN ('text', 'text2') GROUP BY notation", *MAKERS
@@ -387,7 +415,7 @@ SELECT CAST(ord AS INT) AS ord, CAST(rank AS INT) AS rank, bits FROM (SELECT * F
     out["refutations_per_law"] = (
         f"WITH RECURSIVE {LAWS}, {SAT2} SELECT CAST(a.node AS INT) AS node, count(*) FILTER (WHERE (a.mask & ~b.mask) <> 0) AS n_refuted FROM masks a, masks b GROUP BY a.node"
     )
-    out["refuted_pairs"] = f"WITH RECURSIVE {LAWS}, {SAT2}, k AS (SELECT mask, count(*) AS n FROM masks GROUP BY mask) SELECT a.mask AS hyp_mask, b.mask AS concl_mask, a.n * b.n AS n_pairs FROM k a, k b WHERE (a.mask & ~b.mask) <> 0"
+    out["refuted_pairs"] = f"WITH RECURSIVE {LAWS}, {SAT2}, k AS (SELECT mask, count(*) AS n FROM masks JOIN orders ON node = {ORDERED} GROUP BY mask) SELECT a.mask AS hyp_mask, b.mask AS concl_mask, a.n * b.n AS n_pairs FROM k a, k b WHERE (a.mask & ~b.mask) <> 0"
     out["first_witness_size2"] = f"""
 WITH RECURSIVE {LAWS}, {SAT2}, pairs AS (SELECT DISTINCT 1 + o_orderkey % 4694 AS a, 1 + o_custkey % 4694 AS b FROM orders),
 found AS (SELECT p.a, p.b, x.mask & ~y.mask AS w FROM pairs p JOIN masks x ON x.node = p.a JOIN masks y ON y.node = p.b)
@@ -405,7 +433,7 @@ SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(CASE WHEN w = 0 THEN -1 EL
         + f"SELECT o_orderpriority, {_label('i', 'g', 'a.mask', 'b.mask')} AS label, count(*) AS n FROM p JOIN masks a ON a.node = i JOIN masks b ON b.node = g GROUP BY ALL"
     )
     out["status_histogram"] = f"""WITH RECURSIVE {LAWS}, {SAT2}, s AS (
-  SELECT CASE WHEN a.node = b.node OR b.node = 1 OR a.node = 2 THEN 1 WHEN (a.mask & ~b.mask) <> 0 THEN 0 ELSE 4 END AS status FROM masks a, masks b)
+  SELECT CASE WHEN a.node = b.node OR b.node = 1 OR a.node = 2 THEN 1 WHEN (a.mask & ~b.mask) <> 0 THEN 0 ELSE 4 END AS status FROM masks a, masks b WHERE a.node IN {USED})
 SELECT CAST(k AS INT) AS status, name, count(s.status) AS n_pairs FROM (VALUES (0,'proof_false'),(1,'proof_true'),(2,'conjecture_false'),(3,'conjecture_true'),(4,'unknown')) AS x(k, name) LEFT JOIN s ON s.status = k GROUP BY k, name"""
     blank = r"[\s\x1c-\x1f\x{85}\x{a0}]"
     macros = {"cdot": "·", "circ": "∘", "diamond": "◇", "ast": "*", "times": "×", "oplus": "⊕", "otimes": "⊗", "odot": "⊙", "ominus": "⊖", "oslash": "⊘", "bullet": "•", "star": "★", "dagger": "†", "triangleleft": "◁", "triangleright": "▷", "circledast": "⊛", "circledcirc": "⊚", "Box": "□"}
@@ -477,6 +505,11 @@ FROM told"""
         f"SELECT CASE WHEN i = g THEN 'equivalent' ELSE {_label('i', 'g', 'a.mask', 'b.mask')} END AS label, count(*) AS n {masked} GROUP BY 1"
     )
     lab = _label("i", "g", "a.mask", "b.mask")
+    out["edge_closure"] = """
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem), r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+nodes AS (SELECT u AS node FROM e UNION SELECT v FROM e),
+mutual AS (SELECT a.u AS node, count(*) AS n FROM r a JOIN r b ON a.u = b.v AND a.v = b.u WHERE a.u <> a.v GROUP BY 1)
+SELECT node, 1 + coalesce(m.n, 0) AS component_size, (SELECT count(*) FROM r WHERE u = node) AS n_reached FROM nodes LEFT JOIN mutual m USING (node)"""
     out["verdict_evidence"] = small + f"""
 SELECT *, CASE label WHEN 'equal' THEN 'both map to Equation ' || intended
   WHEN 'equivalent' THEN 'derived proofs of Eq' || intended || ' => Eq' || generated || ' and Eq' || generated || ' => Eq' || intended
@@ -493,7 +526,7 @@ FROM (SELECT DISTINCT CAST(i AS INT) AS intended, CAST(g AS INT) AS generated, {
     out["crosscheck_catalogue"] = """
 WITH u AS (SELECT DISTINCT 1 + p_partkey % 4694 AS node FROM part)
 SELECT 'missing' AS check, 4694 - count(*) AS n FROM u UNION ALL SELECT 'differing', count(*) FROM u WHERE node % 5 = 0 UNION ALL SELECT 'extra', 1"""
-    out["broken_renderings"] = with_laws("SELECT notation, count(*) AS n, count(*) AS n_refused FROM laws, (VALUES " + ", ".join(f"('{n}')" for n in MAKERS) + ") AS x(notation) GROUP BY notation")
+    out["broken_renderings"] = with_laws(f"SELECT notation, count(*) AS n, count(*) AS n_refused FROM {SOME}, (VALUES " + ", ".join(f"('{n}')" for n in MAKERS) + ") AS x(notation) GROUP BY notation")
     fives = []
     for k in range(3):
         for i, a in enumerate(trees(k)):
@@ -509,6 +542,7 @@ fives AS (SELECT 4694 + row_number() OVER (ORDER BY lo, lr, rr, rhyme) AS node,
 SELECT s_suppkey, 4695 + s_suppkey * 57 AS number, {_filled('tpl', 'rhyme', "['x','y','z','w','u','v','r']", 7)} AS formal, 4695 + s_suppkey * 57 AS again
 FROM supplier JOIN fives ON node = 4695 + s_suppkey * 57"""
     out["stream_labels"] = labelled("events", "1 + event_id % 4694", "1 + user_id % 4694", "") + f"SELECT {lab} AS label, count(*) AS n {masked} GROUP BY 1"
+    out = {name: _counted(sql, COUNTED[name]) if name in COUNTED else sql for name, sql in out.items()}
     return out | _file_sql(lab)
 
 
@@ -521,7 +555,7 @@ def _file_sql(lab: str) -> dict[str, str]:
     out["file_law_list"] = f"{told} SELECT CAST(node AS INT) AS node, formal FROM texts"
     out["file_lean_source"] = out["file_law_list"]
     out["file_listing"] = with_laws(
-        " UNION ALL ".join(f"SELECT '{n}' AS notation, node || '. ' || {rendering(n)} AS line FROM {_join(n)}" for n in ("text", "text2")), "text", "text2"
+        " UNION ALL ".join(f"SELECT '{n}' AS notation, node || '. ' || {rendering(n)} AS line FROM {_join(n, SOME)}" for n in ("text", "text2")), "text", "text2"
     )
     used = f"array_to_string(list_transform(range(0, list_max(rhyme) + 1), lambda i: {LETTERS}[i + 1]), ',')"
     out["file_catalogue"] = with_laws(
@@ -536,10 +570,10 @@ def _file_sql(lab: str) -> dict[str, str]:
     )
     frame = ["\\documentclass{article}", "\\usepackage{amsmath,amssymb}", "\\begin{document}", "\\noindent", "\\end{document}"]
     out["file_tex"] = with_laws(
-        f"SELECT 'Equation ' || node || ': $' || {rendering('latex')} || '$\\\\' AS line FROM {_join('latex')} UNION ALL SELECT * FROM (VALUES "
+        f"SELECT 'Equation ' || node || ': $' || {rendering('latex')} || '$\\\\' AS line FROM {_join('latex', SOME)} UNION ALL SELECT * FROM (VALUES "
         + ", ".join(f"({_quote(x)})" for x in frame) + ") AS x(line)", "latex"
     )
-    out["file_lean"] = with_laws(f"SELECT {rendering('lean')} AS line FROM {_join('lean')}", "lean")
+    out["file_lean"] = with_laws(f"SELECT {rendering('lean')} AS line FROM {_join('lean', SOME)}", "lean")
     out["file_outcomes"] = (
         f"SELECT CAST(row_number() OVER (PARTITION BY b.n_nationkey ORDER BY a.n_nationkey) AS INT) AS hyp, CAST(row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_nationkey) AS INT) AS concl, "
         f"CAST({code}[1 + (a.n_nationkey * 31 + b.n_nationkey * 17) % 9] AS INT) AS status FROM nation a, nation b"
@@ -567,10 +601,10 @@ SELECT s_suppkey, CAST(1 + s_suppkey % 4694 AS INT) AS intended_id,
   CASE WHEN s_suppkey % 5 = 0 THEN 'invalid' WHEN s_suppkey % 3 = 0 THEN 'outside_fragment' ELSE 'in_fragment' END AS generated_status,
   CASE WHEN s_suppkey % 5 = 0 THEN 'none (parse failure)' WHEN s_suppkey % 3 = 0 THEN 'brute_force' ELSE 'implication_graph' END AS oracle_used
 FROM supplier"""
-    out["cli_words"] = (
-        "SELECT spec, dual, CAST(found AS INT) AS found FROM (VALUES ('43', false, 43), ('1', false, 1), ('2', false, 2), ('4', true, 5), ('5', true, 4), ('x = y', false, 2), "
-        "('x = x * y', true, 5), ('a * b = b * a', false, 43), ('4695', false, 0)) AS x(spec, dual, found)"
-    )
+    out["cli_words"] = f"""{told}, turned AS ({DUALS}),
+words AS (SELECT DISTINCT CASE s_suppkey % 6 WHEN 3 THEN '4695' || s_suppkey WHEN 5 THEN 'x = x * y' ELSE CAST(s_suppkey AS VARCHAR) END AS spec,
+  s_suppkey % 6 IN (1, 2, 5) AS dual, CASE s_suppkey % 6 WHEN 3 THEN 0 WHEN 5 THEN 4 ELSE s_suppkey END AS n FROM supplier WHERE s_suppkey % 6 <> 4)
+SELECT spec, dual, CAST(coalesce(CASE WHEN dual THEN dual_node ELSE l.node END, 0) AS INT) AS found FROM words w LEFT JOIN laws l ON l.node = w.n LEFT JOIN turned t ON t.node = w.n"""
     out["describe_prompts"] = "SELECT p_partkey, true AS names_law, true AS names_text FROM part"
     out["substring_of_answers"] = "SELECT c_custkey, 'in_fragment' AS status, CAST(1 + c_custkey % 4694 AS BIGINT) AS etp_id FROM customer"
     out["limited_rows"] = f"{told} SELECT CAST(node AS INT) AS node, formal, CAST(ord AS INT) AS \"order\" FROM texts JOIN laws USING (node) WHERE node <= 100"
@@ -580,7 +614,7 @@ FROM supplier"""
         "CASE o_orderkey % 4 WHEN 1 THEN 'outside-fragment' WHEN 2 THEN 'parse-failure' ELSE '' END AS error, count(*) AS n "
         "FROM orders, (VALUES ('latex'), ('lean'), ('text'), ('json_ast')) AS x(notation) GROUP BY ALL"
     )
-    return out
+    return {name: _counted(sql, COUNTED[name]) if name in COUNTED else sql for name, sql in out.items()}
 
 
 def _word(x: str, y: str, m: str, k: str) -> str:

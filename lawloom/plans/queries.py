@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, terms
 from ..functions.notations import NOTATIONS, notation
-from ..operators import catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, rewriting, verdicts, verify
+from ..operators import catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, reachability, rewriting, verdicts, verify
 from ..operators.catalogue import CATALOGUE_SIZE, laws
 from ..streaming import streams
 from . import files
@@ -31,16 +32,48 @@ def _node(key: Column) -> Column:
     return (1 + key % CATALOGUE_SIZE).cast("int")
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(node, n_orders)``: the laws that orders' keys name, and how many name each; the catalogue bounds its size."""
+    return _table(spark, sf_dir, "orders").groupBy(_node(F.col("o_orderkey")).alias("node")).agg(F.count("*").alias("n_orders"))
+
+
+def _named_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's rows of laws that orders name."""
+    return laws(spark).join(F.broadcast(_named(spark, sf_dir).select("node")), "node", "left_semi")
+
+
+def _laws_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law of every order, a row per order."""
+    return _table(spark, sf_dir, "orders").select(_node(F.col("o_orderkey")).alias("node")).join(F.broadcast(laws(spark)), "node")
+
+
+def counted(query: Query, key: str = "node") -> Query:
+    """A query with rows per law, and how many orders name the law."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out, named = query(spark, sf_dir), _named(spark, sf_dir).withColumnRenamed("node", "__named")
+        met = out.join(F.broadcast(named), F.col(key) == F.col("__named"), "left")
+        return met.select(*out.columns, F.coalesce("n_orders", F.lit(0)).cast("long").alias("n_orders"))
+
+    return run
+
+
 def shape_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.shapes(spark).select("ord", "rank", "bits")
+    """All trees, and how many orders' laws have one as their left side."""
+    sides = _laws_of_orders(spark, sf_dir).groupBy(terms.shape_bits(F.col("lhs")).alias("bits")).agg(F.count("*").alias("n"))
+    return catalogue.shapes(spark).join(F.broadcast(sides), "bits", "left").select("ord", "rank", "bits", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"))
 
 
 def rhyme_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rhymes of up to six leaves, and how many orders' laws have each."""
     out = None
     for n in range(1, 7):
         part = catalogue.rhymes(spark, n).select(F.lit(n).alias("length"), F.array_join(F.transform("rhyme", lambda x: x.cast("string")), ",").alias("rhyme"))
         out = part if out is None else out.union(part)
-    return out
+    own = F.array_join(F.transform(F.concat(terms.leaves(F.col("lhs")), terms.leaves(F.col("rhs"))), lambda x: x.cast("string")), ",")
+    uses = _laws_of_orders(spark, sf_dir).groupBy(own.alias("rhyme")).agg(F.count("*").alias("n"))
+    return out.join(F.broadcast(uses), "rhyme", "left").select("length", "rhyme", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"))
 
 
 def catalog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +86,19 @@ def catalog_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.count_by_order(laws(spark), "ord")
+    """Orders by the order of their laws."""
+    return verify.count_by_order(_laws_of_orders(spark, sf_dir), "ord")
 
 
 def catalog_by_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return laws(spark).groupBy("n_vars").agg(F.count("*").alias("n_laws"))
+    """Orders by the number of their laws' variables."""
+    return _laws_of_orders(spark, sf_dir).groupBy("n_vars").agg(F.count("*").alias("n_laws"))
 
 
 def law_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.law_counts(spark)
+    """How many laws an order of the catalogue has, where they begin, and how many orders name one."""
+    uses = verify.count_by_order(_laws_of_orders(spark, sf_dir), "ord").toDF("ord", "n")
+    return catalogue.law_counts(spark).join(F.broadcast(uses), "ord", "left").select("ord", "n_laws", "first_node", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"))
 
 
 def catalog_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,17 +125,17 @@ def catalogue_of(name: str) -> Query:
 
 
 def render_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.all_lengths(spark)
+    return verify.all_lengths(_named_laws(spark, sf_dir))
 
 
-def _every_rendering(spark: SparkSession) -> DataFrame:
+def _every_rendering(named: DataFrame) -> DataFrame:
     lhs, rhs, names = F.col("lhs"), F.col("rhs"), F.col("names")
     each = F.array(*(F.struct(F.lit(n).alias("notation"), notation(n).rendered(lhs, rhs, names).alias("rendering")) for n in NOTATIONS))
-    return laws(spark).select("node", F.explode(each).alias("e")).select("node", "e.*")
+    return named.select("node", F.explode(each).alias("e")).select("node", "e.*")
 
 
 def distinct_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = _every_rendering(spark)
+    every = _every_rendering(_named_laws(spark, sf_dir))
     return every.groupBy("notation").agg(F.count("*").alias("n_laws"), F.count_distinct("rendering").alias("n_distinct"))
 
 
@@ -106,7 +143,7 @@ def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for n in NOTATIONS:
         ok = notation(n).round_trip(F.col("lhs"), F.col("rhs"), F.col("names"), F.col("node"))
-        part = laws(spark).where(ok).agg(F.count("*").alias("n_ok")).select(F.lit(n).alias("notation"), "n_ok")
+        part = _named_laws(spark, sf_dir).where(ok).agg(F.count("*").alias("n_ok")).select(F.lit(n).alias("notation"), "n_ok")
         out = part if out is None else out.union(part)
     return out
 
@@ -114,7 +151,8 @@ def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words_per_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for n in ("text", "text2"):
-        part = verify.length_stats(verify.build_rows(spark, n), verify.words()).select(F.lit(n).alias("notation"), "*")
+        rows = verify.build_rows(spark, n).join(F.broadcast(_named(spark, sf_dir)), "node", "left_semi")
+        part = verify.length_stats(rows, verify.words()).select(F.lit(n).alias("notation"), "*")
         out = part if out is None else out.union(part)
     return out
 
@@ -152,7 +190,9 @@ def refutations_per_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refuted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return magmas.refuted_pairs(magma2_satisfaction(spark, sf_dir))
+    """Masks of orders' laws of which the first refutes the second, and how many pairs of orders have them."""
+    masks = magma2_satisfaction(spark, sf_dir)
+    return magmas.refuted_pairs(_laws_of_orders(spark, sf_dir).select("node").join(F.broadcast(masks), "node"))
 
 
 def _witnesses(spark: SparkSession, sf_dir: str, max_size: int) -> DataFrame:
@@ -221,11 +261,13 @@ def verdict_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.status_counts(evidence.plain(spark))
+    """Statuses of all implications from laws that orders name."""
+    return evidence.status_counts(evidence.plain(spark).join(F.broadcast(_named(spark, sf_dir)), F.col("hyp") == F.col("node"), "left_semi"))
 
 
 def evidence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.checks(evidence.derive(spark))
+    """Gates over the rows of the full matrix that orders name."""
+    return evidence.checks(evidence.derive(spark).join(F.broadcast(_named(spark, sf_dir)), F.col("hyp") == F.col("node"), "left_semi"))
 
 
 def strip_noise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,6 +376,12 @@ def implication_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("o_orderkey", word.alias("implies"))
 
 
+def edge_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers as nodes of one graph, an edge per line item: each node's component and how many nodes it reaches."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    return reachability.reach_counts(lines, "l_partkey", "l_suppkey")
+
+
 def edge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = verdicts.edge_relations(_order_pairs(spark, sf_dir), _settled_edges(spark))
     return told.groupBy("label").agg(F.count("*").alias("n"))
@@ -379,7 +427,7 @@ def broken_renderings(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.expr("substring(t, 1, length(t) - 1)")
         if n == "confusable_vars":
             text = F.when(F.contains("t", F.lit("◇")), F.regexp_replace("t", "^([^◇]*) ◇ ", "$1 ")).otherwise(F.replace("t", F.lit("="), F.lit("")))
-        cut = laws(spark).select(form.rendered(F.col("lhs"), F.col("rhs"), F.col("names"), F.col("node")).alias("t")).select(text.alias("t"))
+        cut = _named_laws(spark, sf_dir).select(form.rendered(F.col("lhs"), F.col("rhs"), F.col("names"), F.col("node")).alias("t")).select(text.alias("t"))
         refused = F.sum(form.read_back(F.col("t")).isNull().cast("long"))
         part = cut.agg(F.count("*").alias("n"), refused.alias("n_refused")).select(F.lit(n).alias("notation"), "n", "n_refused")
         out = part if out is None else out.union(part)
@@ -406,6 +454,15 @@ def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+#: Queries of all laws, with the column that has the law's number: orders are counted to each row.
+COUNTED = dict.fromkeys(
+    (
+        "catalog_all", "catalog_generated", "catalog_dual", "catalogue_text", "catalogue_text2", "magma2_satisfaction", "magma3_counts", "refutations_per_law",
+        "law_mutations", "file_law_list", "file_lean_source", "file_catalogue", "file_json_document", "limited_rows", "same_catalogues", "named_table_laws",
+    ),
+    "node",
+) | {"file_matrix": "hyp"}
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -414,7 +471,8 @@ QUERIES: dict[str, Query] = {
         magma2_satisfaction, magma3_counts, refutations_per_law, refuted_pairs, first_witness, first_witness_size2, verdict_histogram,
         verdict_histogram_derived, rewriting_proofs, model_counterexamples, verdict_settled, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
         strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, dialect_lookup,
-        drift_explanations, law_mutations, implication_lookup, edge_relations, verdict_evidence, drift_summary,
+        drift_explanations, law_mutations, implication_lookup, edge_closure, edge_relations, verdict_evidence, drift_summary,
         metric_accuracy, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels,
     )
 } | files.QUERIES | {f"catalogue_{n}": catalogue_of(n) for n in ("text", "text2")} | {f"render_{n}": render_of(n) for n in NOTATIONS}
+QUERIES |= {name: counted(QUERIES[name], key) for name, key in COUNTED.items()}

@@ -110,7 +110,11 @@ def read_selection(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def specs(spark: SparkSession, values: list[str]) -> DataFrame:
-    """``(spec, dual)`` of command-line words: brackets and commas go, a leading star asks for the dual."""
-    raw = spark.createDataFrame([(v,) for v in values], "raw string")
-    bare = clean.strip(F.regexp_replace("raw", r"[\[\],]", ""))
-    return raw.select(F.regexp_replace(bare, r"^\*\s*", "").alias("spec"), F.startswith(bare, F.lit("*")).alias("dual")).where("spec <> ''")
+    """``specs_of`` the words of a command line."""
+    return specs_of(spark.createDataFrame([(v,) for v in values], "raw string"), "raw")
+
+
+def specs_of(words: DataFrame, column: str) -> DataFrame:
+    """``(spec, dual)`` of a column of words: brackets and commas go, a leading star asks for the dual."""
+    bare = clean.strip(F.regexp_replace(column, r"[\[\],]", ""))
+    return words.select(F.regexp_replace(bare, r"^\*\s*", "").alias("spec"), F.startswith(bare, F.lit("*")).alias("dual")).where("spec <> ''")
