@@ -56,6 +56,19 @@ def disagreements(df: DataFrame, metrics: tuple[str, ...], label: str = "label")
     return df.agg(*counts)
 
 
+def by_relation(df: DataFrame, metrics: tuple[str, ...], group: str, label: str = "label") -> DataFrame:
+    """The counts of ``disagreements`` by group and relation, by each alone and in all (null stands for all), in one pass.
+
+    A null group or label is counted as the text ``null``, apart from all.
+    """
+    truth, open_ = F.col(label).isin(*PRESERVED), F.col(label) == "unknown"
+    flags = {"__open": open_} | {f"__{m}_false": F.col(m) & ~truth & ~open_ for m in metrics} | {f"__{m}_missed": ~F.col(m) & truth for m in metrics}
+    named = df.withColumns(flags | {c: F.coalesce(F.col(c), F.lit("null")) for c in (group, label)})
+    own, rel = F.col(group), F.col(label)
+    sums = [F.count("*").alias("n"), F.count_if("__open").alias("unresolved"), *(F.count_if(f"__{m}_{w}").alias(f"{m}_{w}") for m in metrics for w in ("false", "missed"))]
+    return named.groupingSets([[own, rel], [own], [rel], []], own, rel).agg(*sums)
+
+
 def confusion(df: DataFrame, expected: str, label: str = "label") -> DataFrame:
     """``(expected, label, n)``."""
     return df.groupBy(F.col(expected).alias("expected"), F.col(label).alias("label")).agg(F.count("*").alias("n"))

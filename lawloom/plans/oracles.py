@@ -289,6 +289,45 @@ def _duals() -> str:
 DUALS = _duals()
 
 
+def _directions() -> str:
+    """The direction of a law under the reduction order, by the definition, written out for every pair of shapes."""
+
+    def places(t) -> list[int]:
+        return [t] if isinstance(t, int) else places(t[0]) + places(t[1])
+
+    def counted(i: int, among: list[int]) -> str:
+        return "(" + " + ".join(f"CAST(rhyme[{j + 1}] = rhyme[{i + 1}] AS INT)" for j in among) + ")"
+
+    def covers(s, t) -> str:
+        return " AND ".join(f"{counted(i, places(s))} >= {counted(i, places(t))}" for i in places(t))
+
+    def same(s, t) -> str:
+        if isinstance(s, int) and isinstance(t, int):
+            return f"rhyme[{s + 1}] = rhyme[{t + 1}]"
+        if isinstance(s, int) or isinstance(t, int):
+            return "false"
+        return f"{same(s[0], t[0])} AND {same(s[1], t[1])}"
+
+    def above(s, t) -> str:
+        a, b = len(places(s)), len(places(t))
+        if a != b:
+            return f"({covers(s, t)})" if a > b else "false"
+        if isinstance(s, int):
+            return "false"
+        return f"({covers(s, t)} AND ({above(s[0], t[0])} OR ({same(s[0], t[0])} AND {above(s[1], t[1])})))"
+
+    def numbered(t, numbers):
+        return next(numbers) if t is None else (numbered(t[0], numbers), numbered(t[1], numbers))
+
+    whens = []
+    for _, k, i, j, a, b in _pairs():
+        numbers = iter(range(6))
+        s, t = numbered(a, numbers), numbered(b, numbers)
+        where = f"WHEN lo = {k} AND lr = {i} AND rr = {j} AND ro = {_size_of(b)}"
+        whens.append(f"{where} THEN CASE WHEN {above(s, t)} THEN 'right' WHEN {above(t, s)} THEN 'left' ELSE 'unorientable' END")
+    return f"CASE {' '.join(whens)} END"
+
+
 def _value(tree, leaf: int, cell: Callable[[str, str], str]) -> tuple[str, int]:
     """SQL for a term's value; leaves are v1, v2, ..."""
     if tree is None:
@@ -523,6 +562,36 @@ FROM (SELECT DISTINCT CAST(i AS INT) AS intended, CAST(g AS INT) AS generated, {
         "round(avg(CAST(same = (label IN ('equal', 'equivalent')) AS INT)), 6) AS accuracy "
         f"FROM (SELECT i = g AS same, {lab} AS label {masked}) WHERE label <> 'unknown' GROUP BY label"
     )
+    flat = f"replace(replace({FORMAL_TEXT}, '(', ''), ')', '')"
+    out["ambiguous_readings"] = with_laws(
+        f"""SELECT CAST(q.node AS INT) AS node, q.text, count(*) AS n_readings, array_to_string(list_sort(list(DISTINCT x.node) FILTER (WHERE x.node IS NOT NULL)), ',') AS laws FROM (
+  SELECT node, {flat} AS text, lo, ro, CASE WHEN lo < ro OR s1.r <= s2.r THEN s1.r ELSE s2.r END AS la, CASE WHEN lo < ro OR s1.r <= s2.r THEN s2.r ELSE s1.r END AS rb,
+    CASE WHEN lo < ro OR s1.r < s2.r THEN rhyme WHEN s1.r = s2.r THEN least(rhyme, flip) ELSE flip END AS rh
+  FROM {_join(FORMAL)} JOIN shapes s1 ON s1.o = lo JOIN shapes s2 ON s2.o = ro WHERE node IN (SELECT 1 + p_partkey % 4694 FROM part)
+) q LEFT JOIN laws x ON x.lo = q.lo AND x.ro = q.ro AND x.lr = q.la AND x.rr = q.rb AND x.rhyme = q.rh GROUP BY q.node, q.text""", FORMAL
+    )
+    sides = f"string_split({FORMAL_TEXT}, ' = ')"
+    out["oriented_rules"] = with_laws(
+        f"""SELECT CAST(node AS INT) AS node, direction, CASE direction WHEN 'right' THEN t[1] || ' → ' || t[2] WHEN 'left' THEN t[2] || ' → ' || t[1] ELSE '' END AS rule
+FROM (SELECT node, {sides} AS t, {_directions()} AS direction FROM {_join(FORMAL)} WHERE node IN (SELECT 1 + p_partkey % 4694 FROM part))""", FORMAL
+    )
+    report = (
+        labelled("orders", "1 + o_orderkey % 4694", "1 + (o_orderkey % 7 + o_custkey % 97) % 4694", "o_orderpriority, ")[:-1]
+        + f", {_templates(FORMAL)}, texts AS (SELECT node, replace({FORMAL_TEXT}, '◇', '*') AS t FROM {_join(FORMAL)}), "
+        f"told AS (SELECT o_orderpriority, i = g AS same, levenshtein(x.t, y.t) <= 4 AS near, {lab} AS label {masked} JOIN texts x ON x.node = i JOIN texts y ON y.node = g) "
+    )
+    kept = "label IN ('equal', 'equivalent')"
+    sums = ", ".join(
+        f"count(*) FILTER (WHERE {m} AND NOT {kept} AND label <> 'unknown') AS {m}_false, count(*) FILTER (WHERE NOT {m} AND {kept}) AS {m}_missed" for m in ("same", "near")
+    )
+    out["metric_report"] = report + (
+        "SELECT coalesce(o_orderpriority, 'all') AS o_orderpriority, coalesce(label, 'all') AS label, count(*) AS n, "
+        f"count(*) FILTER (WHERE label = 'unknown') AS unresolved, {sums} FROM told GROUP BY GROUPING SETS ((o_orderpriority, label), (o_orderpriority), (label), ())"
+    )
+    spoken = f", {_templates(FORMAL)}, {_templates('rpn')}, texts AS (SELECT node, {FORMAL_TEXT} AS formal FROM {_join(FORMAL)}), posts AS (SELECT node, {rendering('rpn')} AS rendering FROM {_join('rpn')}) "
+    out["sql_interface"] = labelled("customer", "1 + c_custkey % 4694", "1 + (c_custkey * 13) % 4694", "c_custkey, ")[:-1] + spoken + (
+        f"SELECT c_custkey, x.formal, y.rendering, {lab} AS label {masked} JOIN texts x ON x.node = i JOIN posts y ON y.node = i"
+    )
     out["crosscheck_catalogue"] = """
 WITH u AS (SELECT DISTINCT 1 + p_partkey % 4694 AS node FROM part)
 SELECT 'missing' AS check, 4694 - count(*) AS n FROM u UNION ALL SELECT 'differing', count(*) FROM u WHERE node % 5 = 0 UNION ALL SELECT 'extra', 1"""

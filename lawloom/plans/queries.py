@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, terms
 from ..functions.notations import NOTATIONS, notation
-from ..operators import catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, reachability, rewriting, verdicts, verify
+from ..operators import ambiguous, catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, orienting, reachability, rewriting, verdicts, verify
 from ..operators.catalogue import CATALOGUE_SIZE, laws
+from ..sql import register
 from ..streaming import streams
 from . import files
 
@@ -400,6 +401,48 @@ def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.summary(drift_report(spark, sf_dir))
 
 
+def _part_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _table(spark, sf_dir, "part").select(_node(F.col("p_partkey")).alias("node")).distinct()
+    return laws(spark).join(F.broadcast(named), "node", "left_semi")  # 4694 numbers at most
+
+
+def ambiguous_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bracket-free text of each law that a part names, in how many ways it reads, and as which laws."""
+    said = _part_laws(spark, sf_dir).select("node", ambiguous.flat(F.col("lhs"), F.col("rhs"), F.col("names")).alias("text"))
+    told = ambiguous.ambiguity(said, "text")
+    numbers = F.array_join(F.transform("laws", lambda x: x.cast("string")), ",")
+    return said.join(told, "text").select("node", "text", "n_readings", numbers.alias("laws"))
+
+
+def oriented_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each law that a part names as a rewrite rule, or that it has no direction."""
+    return orienting.rules(_part_laws(spark, sf_dir)).select("node", "direction", F.coalesce("rule", F.lit("")).alias("rule"))
+
+
+def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two metrics against the label, by relation, by priority, by both and in all: counts, unresolved, false equivalences, missed ones."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderpriority", _node(F.col("o_orderkey")).alias("i"), _node(F.col("o_orderkey") % 7 + F.col("o_custkey") % 97).alias("g"))
+    told = verdicts.verdict_pairs(orders, evidence.plain(spark), "i", "g")
+    spoken = mapping.law_text(mapping.law_text(told, "i", "ti"), "g", "tg")
+    plain = lambda c: F.replace(F.col(c), F.lit("◇"), F.lit("*"))
+    near = metrics.edit_distance(plain("ti"), plain("tg")) <= 4
+    found = metrics.by_relation(spoken.withColumns({"same": F.col("i") == F.col("g"), "near": near}), ("same", "near"), "o_orderpriority")
+    return found.select(F.coalesce("o_orderpriority", F.lit("all")).alias("o_orderpriority"), F.coalesce("label", F.lit("all")).alias("label"), *found.columns[2:])
+
+
+def sql_interface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain SQL text over the customers, with the engine's views and table functions."""
+    register(spark, evidence.plain(spark))
+    _table(spark, sf_dir, "customer").createOrReplaceTempView("lawloom_customer")
+    return spark.sql(
+        """
+        SELECT c.c_custkey, l.formal, r.rendering, v.label
+        FROM lawloom_customer c, LATERAL law(CAST(1 + c.c_custkey % 4694 AS INT)) l, LATERAL law_rendering(CAST(1 + c.c_custkey % 4694 AS INT), 'rpn') r,
+          LATERAL law_verdict(CAST(1 + c.c_custkey % 4694 AS INT), CAST(1 + c.c_custkey * 13 % 4694 AS INT)) v
+        """
+    )
+
+
 def metric_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often equal normal forms agree with the label, by relation."""
     pairs = _order_pairs(spark, sf_dir).withColumn("same", F.col("intended") == F.col("generated"))
@@ -472,7 +515,7 @@ QUERIES: dict[str, Query] = {
         verdict_histogram_derived, rewriting_proofs, model_counterexamples, verdict_settled, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
         strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, dialect_lookup,
         drift_explanations, law_mutations, implication_lookup, edge_closure, edge_relations, verdict_evidence, drift_summary,
-        metric_accuracy, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels,
+        metric_accuracy, ambiguous_readings, oriented_rules, metric_report, sql_interface, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels,
     )
 } | files.QUERIES | {f"catalogue_{n}": catalogue_of(n) for n in ("text", "text2")} | {f"render_{n}": render_of(n) for n in NOTATIONS}
 QUERIES |= {name: counted(QUERIES[name], key) for name, key in COUNTED.items()}
