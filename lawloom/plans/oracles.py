@@ -510,6 +510,10 @@ JOIN (SELECT node, replace({FORMAL_TEXT}, '◇', '*') AS t FROM {_join(FORMAL)})
         "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine "
         "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
     )
+    out["nearest_vectors_exact"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT vec_id, CAST(rank AS INT) AS rank, neighbour, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbour) AS rank FROM p) WHERE rank <= 5"""
     out["dialect_lookup"] = (
         "SELECT c_custkey, 'in_fragment' AS status, CAST(1 + c_custkey % 4694 AS BIGINT) AS etp_id FROM customer"
     )

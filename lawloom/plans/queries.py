@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, terms
 from ..functions.notations import NOTATIONS, notation
-from ..operators import ambiguous, catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, orienting, reachability, rewriting, verdicts, verify
+from ..operators import ambiguous, catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, neighbours, orienting, reachability, rewriting, verdicts, verify
 from ..operators.catalogue import CATALOGUE_SIZE, laws
 from ..sql import register
 from ..streaming import streams
@@ -335,6 +335,31 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, "vec_id").select("vec_id", F.round(metrics.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.unit(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors most like each vector, by the index."""
+    units = _units(spark, sf_dir)
+    found = neighbours.nearest(units, units, 5, neighbours.fit_centres(units))
+    return found.select(F.col("id").alias("vec_id"), "rank", F.col("other").alias("neighbour"), F.round("cosine", 6).alias("cosine"))
+
+
+def nearest_vectors_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors most like each vector whose id is divisible by 50, against all vectors, exactly."""
+    units = _units(spark, sf_dir)
+    found = neighbours.nearest(units.where("id % 50 = 0"), units, 5)
+    return found.select(F.col("id").alias("vec_id"), "rank", F.col("other").alias("neighbour"), F.round("cosine", 6).alias("cosine"))
+
+
+def neighbour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact neighbours the index finds."""
+    units = _units(spark, sf_dir)
+    queries = units.where("id % 50 = 0")
+    return neighbours.recall(neighbours.nearest(queries, units, 5, neighbours.fit_centres(units)), neighbours.nearest(queries, units, 5))
+
+
 def dialect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = mapping.law_text(_table(spark, sf_dir, "customer").select("c_custkey", _node(F.col("c_custkey")).alias("law")), "law")
     text = F.concat(F.lit(r"\["), F.when(F.col("c_custkey") % 2 == 0, F.replace("formal", F.lit("◇"), F.lit("."))).otherwise(F.replace("formal", F.lit("◇"), F.lit(r"\star"))), F.lit(r"\]"))
@@ -513,7 +538,7 @@ QUERIES: dict[str, Query] = {
         render_length_stats, distinct_check, round_trips, words_per_law, canonical_key_lookup, resolve_numbers,
         magma2_satisfaction, magma3_counts, refutations_per_law, refuted_pairs, first_witness, first_witness_size2, verdict_histogram,
         verdict_histogram_derived, rewriting_proofs, model_counterexamples, verdict_settled, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
-        strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, dialect_lookup,
+        strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, nearest_vectors, nearest_vectors_exact, neighbour_recall, dialect_lookup,
         drift_explanations, law_mutations, implication_lookup, edge_closure, edge_relations, verdict_evidence, drift_summary,
         metric_accuracy, ambiguous_readings, oriented_rules, metric_report, sql_interface, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels,
     )
