@@ -16,7 +16,8 @@ from .operators.catalogue import laws
 from .sources import readers, sinks
 
 
-def _matrix(spark: SparkSession, path: str | None) -> tuple[DataFrame, bool]:
+def _matrix(spark: SparkSession, given: str | None) -> tuple[DataFrame, bool]:
+    path = readers.path_of(spark, given, readers.OUTCOMES_AT)
     if path is None:
         return evidence.derive(spark), False
     if path.endswith(".csv"):
@@ -63,6 +64,8 @@ def main(args: list[str]) -> int:
     matrix = commands.add_parser("matrix", help="write the matrix of implications")
     matrix.add_argument("--evidence")
     matrix.add_argument("--out", required=True)
+    check = commands.add_parser("check", help="hold the catalogue against a law list")
+    check.add_argument("--laws", help="text with one law per line; else where the settings say")
     said = top.parse_args(args)
 
     spark = SparkSession.builder.appName("lawloom").config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -77,6 +80,11 @@ def main(args: list[str]) -> int:
         pair = spark.createDataFrame([(said.intended, said.generated)], "i string, g string")
         told, ingested = _matrix(spark, said.evidence)
         return _emit(verdicts.compare(pair, "i", "g", told, ingested).select("verdict.*"))
+    if said.command == "check":
+        path = readers.path_of(spark, said.laws, readers.LAWS_AT)
+        if path is None:
+            top.error(f"no law list: give --laws, or set {readers.LAWS_AT[0]} or {readers.LAWS_AT[1]}")
+        return _emit(verify.crosscheck(laws(spark).select("node", "formal"), readers.read_laws(spark, path)))
     if said.command == "matrix":
         sinks.write_matrix(_matrix(spark, said.evidence)[0], said.out)
         return 0

@@ -41,7 +41,8 @@ def check_rows(rows: DataFrame, form: Notation | str) -> DataFrame:
         {
             "canonical_ok": terms.normalized(lhs, rhs) == F.col("formal"),
             "trip_ok": F.coalesce(trip, F.lit(False)),
-            "variables_ok": F.size(F.col("__back.names")) == F.size(names),
+            # The binders by name and in order where the notation keeps names, else as many of them.
+            "variables_ok": F.col("__back.names") == F.col("variables") if form.match == "exact" else F.size("__back.names") == F.size(names),
             "text_ok": pure,
         }
     ).drop("__back")

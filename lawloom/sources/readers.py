@@ -17,9 +17,14 @@ from ..operators.evidence import OUTCOMES
 DEFAULT_SELECTION = (1, 2, 43, 4512, 168)
 
 
-def path_of(given: str | None, variable: str, default: str) -> str:
-    """A path as given, else from the environment, else the default."""
-    return given or os.environ.get(variable) or default
+#: Where a law list and published outcomes are if no path is given: a Spark setting, then a variable of the environment.
+LAWS_AT, OUTCOMES_AT = ("lawloom.laws", "LAWLOOM_LAWS"), ("lawloom.outcomes", "LAWLOOM_OUTCOMES")
+
+
+def path_of(spark: SparkSession, given: str | None, names: tuple[str, str]) -> str | None:
+    """A path as given, else from the session's settings, else from the environment, else none."""
+    setting, variable = names
+    return given or spark.conf.get(setting, None) or os.environ.get(variable) or None
 
 
 def read_laws(spark: SparkSession, path: str) -> DataFrame:
