@@ -239,7 +239,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the documents that leak an item; all columns stay as they are."""
+    """``docs`` without the rows that leak an item; all columns stay as they are, whatever their names.
+
+    Each row is judged by its own text: repeated rows go or stay alike, whatever
+    their ids.  A null or empty text leaks nothing and stays; a text of any
+    length is searched whole.  An empty table gives an empty result, an empty
+    benchmark leaves all rows.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
     schema, at = docs.schema, docs.columns.index("text")

@@ -25,7 +25,9 @@ BLOCK_TOKENS = 2_000_000
 EVENNESS = 0.97
 REPEAT = 4.0
 SEED = 20
-#: Rows of the block plan that are sent to all executors at most; beyond it the documents are shuffled.
+#: Blocks grow with the corpus, so that there are this many at most, and one more for each source.
+MOST_BLOCKS = 20_000
+#: Rows of the block plan that are sent to all executors at most; with more (some 30 000 sources) the documents are shuffled.
 BROADCAST_BLOCKS = 50_000
 STEPS, WIDTH = 5, 24
 
@@ -87,10 +89,11 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.lit(SEED), F.coalesce(doc_id.cast("long"), F.xxhash64(text)))
 
 
-def plan(docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, passes: float | None = None) -> tuple[DataFrame, DataFrame]:
     """``sources(src, tokens, weight, quota, blocks)`` and the block plan.
 
-    Without ``budget`` the quotas are the smallest in proportion to the weights
+    ``budget`` is the number of tokens to read, or ``passes`` times the corpus'
+    own if that is given.  Without either the quotas are the smallest in proportion to the weights
     that read every source once at least.  The block plan has a row per block
     and epoch: ``src, block, epoch, position, cutoff``; of a block with a
     ``cutoff`` only documents with a key up to it are read.
@@ -105,6 +108,9 @@ def plan(docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, bu
     share = F.exp(F.log(F.col("tokens") / F.lit(total)) * a)
     weighed = sizes.withColumn("share", F.when(F.col("tokens") > 0, share).otherwise(F.lit(0.0)))
     z = weighed.agg(F.sum("share").alias("z")).first()["z"] or 1.0
+    corpus = sizes.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    budget = round(passes * corpus) if passes is not None else budget
+    block_tokens = max(block_tokens, -(-corpus // MOST_BLOCKS))
     whole = F.lit(float(total)) if budget is None else F.lit(budget / z)
     # The largest source's share is exactly 1, so without a budget its quota is its size.
     quota = F.when(F.col("tokens") > 0, F.floor(F.col("share") * whole + 1e-6)).otherwise(F.lit(0)).cast("long")
@@ -138,9 +144,13 @@ def plan(docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, bu
     return sources, materialise(every.withColumn("position", F.row_number().over(order).cast("long")), "mixing-plan")
 
 
-def mix(docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mix(
+    docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, passes: float | None = None
+) -> DataFrame:
     """``docs``, each row as often as its source's quota asks, with ``epoch, block, position`` added.
 
+    With a ``budget`` of tokens, or of ``passes`` over the corpus, a source
+    whose quota is below its size is read in part, others more than once.
     Reading order is epoch, position, then any order in a block.  A null source
     is a source of its own; documents without tokens (null texts too) are read
     with their block; a source without any token is read once.  Repeated rows
@@ -151,7 +161,7 @@ def mix(docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, bud
     epoch, block, position, src, key, cuts, reading, read = free(
         docs.columns, "epoch", "block", "position", "src", "key", "cuts", "reading", "read"
     )
-    sources, blocks = plan(docs, evenness, repeat, budget, block_tokens)
+    sources, blocks = plan(docs, evenness, repeat, budget, block_tokens, passes)
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_BLOCKS else df
     reads = blocks.groupBy("src", "block").agg(F.collect_list(F.struct("epoch", "position", "cutoff")).alias("reads"))
     keyed = docs.withColumns({src: _name(F.col("source")), key: _key(F.col("doc_id"), F.col("text"))})
@@ -164,6 +174,6 @@ def mix(docs: DataFrame, evenness: float = EVENNESS, repeat: float = REPEAT, bud
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reading of every document: its epoch, block, and the block's place in that epoch."""
+    """Every reading of a document in a run with as many tokens as the corpus has: its epoch, block, and the block's place in that epoch."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", "epoch", "block", "position", token_count(F.col("text")).alias("n_tokens"))
+    return mix(docs, passes=1.0).select("doc_id", "source", "epoch", "block", "position", token_count(F.col("text")).alias("n_tokens"))

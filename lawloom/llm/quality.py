@@ -220,7 +220,13 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> RuleEnsemble:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleEnsemble:
-    """Learn from ``labels(doc_id, quality)``, a bounded sample; several labels of one id count as the lowest."""
+    """Learn from ``labels(doc_id, quality)``, a bounded sample of ``sample`` rows; several labels of one id count as the lowest.
+
+    Null ids and labels other than 0 and 1 are left out; a null text counts as
+    empty; rows that repeat a labelled id are one example; equal statistics with
+    different labels stay both.  Other columns are ignored.  Without any
+    example the model has no rules and scores all alike.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen, rates = labelled_sample(known, sample)

@@ -177,7 +177,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot: int = HOT) -> DataFram
 
 
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id (see ``keep_least``)."""
+    """``docs`` with one document of each group, the one with the smallest id.
+
+    Nulls, ties, repeated rows, empty tables and clashing names are as in
+    ``near_duplicates`` and ``keep_least``.
+    """
     fps, rooted = _grouped(docs, width)
     rows = fps.join(rooted.select("fp", F.col("root").alias("grp")), "fp").select("doc_id", "text_key", "grp")
     return keep_least(docs, materialise(rows, "simhash-rows"))

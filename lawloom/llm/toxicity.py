@@ -236,7 +236,13 @@ def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: SeverityModel) -> DataFrame:
-    """``docs`` without the rows that are toxic; all columns stay as they are."""
+    """``docs`` without the rows that are toxic; all columns stay as they are, whatever their names.
+
+    A row goes if the probability of a grade above 0 is REJECT or more, a tie
+    included.  Null and empty texts have no features and are judged as such;
+    equal texts go or stay alike; a text of any length is read whole.  An empty
+    table gives an empty result.
+    """
     arrow_batches(docs.sparkSession)
     at = docs.columns.index("text")
 

@@ -186,6 +186,15 @@ def test_mixing_odd_tables(spark, mixed):
     assert mixing.mix(doubled).count() == 40
 
 
+def test_mixing_by_passes_and_few_blocks(mixed, monkeypatch):
+    tokens = mixed.agg(F.sum(mixing.token_count(F.col("text")))).first()[0]
+    rows = lambda **k: sorted((r["doc_id"], r["epoch"], r["block"], r["position"]) for r in mixing.mix(mixed, block_tokens=500, **k).collect())
+    assert rows(passes=1.5) == rows(budget=round(1.5 * tokens))
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 4)
+    _, blocks = mixing.plan(mixed, block_tokens=500)
+    assert blocks.select("src", "block").distinct().count() <= 4 + len(SOURCES)
+
+
 def test_mixing_by_a_shuffled_join(mixed, monkeypatch):
     want = sorted((r["doc_id"], r["epoch"]) for r in mixing.mix(mixed, block_tokens=500).collect())
     monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", -1)
@@ -218,3 +227,21 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    kinds = DOCS + ", Text2 string, score int"
+    rows = [(1, None, "aa", "s", 1, "e", 1), (2, "", None, None, None, "e", 1), (None, None, "aa", "s", 1, "e", 1), (3, "some plain words that stay here", "aa", "s", 1, "e", 1)]
+    rows += [rows[-1], (4, "other " * 30_000, "aa", "s", 1, "e", 1)]
+    for name, held in (("none", []), ("odd", rows)):
+        at = str(tmp_path / name)
+        spark.createDataFrame(held, kinds).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, at)
+        assert out.columns[: len(kinds.split(", "))] == [k.split()[0] for k in kinds.split(", ")]
+        got = out.collect()
+        ids = [r["doc_id"] for r in got if r["epoch"] == 0]
+        assert sorted(ids, key=repr) == sorted([] if name == "none" else [1, 3, 4, None], key=repr)
