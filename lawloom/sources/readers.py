@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +16,10 @@ from pyspark.sql import types as T
 from ..functions import clean
 from ..operators.catalogue import CATALOGUE_SIZE
 from ..operators.evidence import OUTCOMES
+from ..shipping import ship
 
 DEFAULT_SELECTION = (1, 2, 43, 4512, 168)
+UNSHAPED = "the outcomes are no square matrix of Equation1 to EquationN"
 
 
 #: Where a law list and published outcomes are if no path is given: a Spark setting, then a variable of the environment.
@@ -47,23 +52,35 @@ def outcome_code(outcome):
     return F.when(code.isNull(), F.raise_error(F.concat(F.lit("unknown outcome "), F.coalesce(outcome, F.lit("null")))).cast("tinyint")).otherwise(code)
 
 
+def _archived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(p, row)``: the rows of the outcomes document in each archive, a few at a time."""
+    for batch in batches:
+        for held in batch["content"]:
+            with zipfile.ZipFile(io.BytesIO(bytes(held))) as archive:
+                members = [m for m in archive.namelist() if m.endswith(".json")]
+                if len(members) != 1:
+                    raise ValueError(f"expected one JSON file in the archive, found {len(members)}")
+                document = json.loads(archive.read(members[0]))
+            names, rows = document["equations"], document["outcomes"]
+            n = len(names)
+            if n == 0 or len(rows) != n or any(len(row) != n for row in rows) or names[0] != "Equation1" or names[-1] != f"Equation{n}":
+                raise ValueError(UNSHAPED)
+            for at in range(0, n, 64):
+                yield pd.DataFrame({"p": range(at, min(at + 64, n)), "row": rows[at : at + 64]})
+
+
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """The packed matrix of an outcomes document ``{equations, outcomes}``, plain or as the only JSON file of a zip archive.
 
-    Spark reads no zip archives, so one is unpacked on the driver; its size is
-    fixed by the catalogue.
+    Spark reads no zip archives, so a task unpacks each and hands its rows on, a
+    row per hypothesis; nothing of it passes through the driver.
     """
     schema = "equations array<string>, outcomes array<array<string>>"
     if path.endswith(".zip"):
-        held = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-        with zipfile.ZipFile(io.BytesIO(bytes(held))) as archive:
-            members = [m for m in archive.namelist() if m.endswith(".json")]
-            if len(members) != 1:
-                raise ValueError(f"expected one JSON file in the archive, found {len(members)}")
-            text = archive.read(members[0]).decode("utf-8")
-        document = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", schema).alias("d")).select("d.*")
-    else:
-        document = spark.read.schema(T.StructType.fromDDL(schema)).json(path, multiLine=True)
+        ship(spark)
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_archived, "p int, row array<string>")
+        return rows.select((F.col("p") + 1).cast("int").alias("hyp"), F.transform("row", outcome_code).alias("statuses"))
+    document = spark.read.schema(T.StructType.fromDDL(schema)).json(path, multiLine=True)
     n = F.size("equations")
     shaped = (
         (F.size("outcomes") == n)
@@ -71,7 +88,7 @@ def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
         & (F.get("equations", F.lit(0)) == "Equation1")
         & (F.element_at("equations", -1) == F.concat(F.lit("Equation"), n.cast("string")))
     )
-    checked = document.select(F.when(shaped, F.col("outcomes")).otherwise(F.raise_error(F.lit("the outcomes are no square matrix of Equation1 to EquationN")).cast("array<array<string>>")).alias("outcomes"))
+    checked = document.select(F.when(shaped, F.col("outcomes")).otherwise(F.raise_error(F.lit(UNSHAPED)).cast("array<array<string>>")).alias("outcomes"))
     rows = checked.select(F.posexplode("outcomes").alias("p", "row"))
     return rows.select((F.col("p") + 1).cast("int").alias("hyp"), F.transform("row", outcome_code).alias("statuses"))
 

@@ -137,6 +137,18 @@ def test_outcomes_are_read(spark, tmp_path):
         assert got == {1: [1, 0], 2: [1, 4]}
 
 
+def test_bad_archives_are_refused(spark, tmp_path):
+    fine = {"equations": ["Equation1", "Equation2"], "outcomes": [["unknown", "unknown"], ["unknown"]]}
+    with zipfile.ZipFile(tmp_path / "ragged.zip", "w") as z:
+        z.writestr("o.json", json.dumps(fine))
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("a.json", "{}")
+        z.writestr("b.json", "{}")
+    for name, said in (("ragged", "no square matrix"), ("two", "expected one JSON file")):
+        with pytest.raises(Exception, match=said):
+            readers.read_outcomes(spark, str(tmp_path / f"{name}.zip")).collect()
+
+
 def test_edges_are_read_and_packed(spark, tmp_path):
     (tmp_path / "e.csv").write_text("source,target,outcome\nEquation1,Equation2,explicit_proof_false\n2,1,implicit_proof_true\n")
     edges = readers.read_edges(spark, str(tmp_path / "e.csv"))
