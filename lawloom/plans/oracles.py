@@ -616,6 +616,11 @@ SELECT s_suppkey, 4695 + s_suppkey * 57 AS number, {_filled('tpl', 'rhyme', "['x
 FROM supplier JOIN fives ON node = 4695 + s_suppkey * 57"""
     out["stream_labels"] = labelled("events", "1 + event_id % 4694", "1 + user_id % 4694", "") + f"SELECT {lab} AS label, count(*) AS n {masked} GROUP BY 1"
     out = {name: _counted(sql, COUNTED[name]) if name in COUNTED else sql for name, sql in out.items()}
+    out["stream_windows"] = (
+        labelled("events", "1 + event_id % 4694", "1 + user_id % 4694", "date_trunc('hour', ts) AS h, ")
+        + f"SELECT strftime(h, '%Y-%m-%d %H:%M') AS hour, {lab} AS label, count(*) AS n {masked} "
+        "WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2"
+    )
     return out | _file_sql(lab)
 
 

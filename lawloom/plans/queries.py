@@ -17,6 +17,7 @@ from ..functions import clean, terms
 from ..functions.notations import NOTATIONS, notation
 from ..operators import ambiguous, catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, neighbours, orienting, reachability, rewriting, verdicts, verify
 from ..operators.catalogue import CATALOGUE_SIZE, laws
+from ..sources.scratch import scratch
 from ..sql import register
 from ..streaming import streams
 from . import files
@@ -531,6 +532,19 @@ COUNTED = dict.fromkeys(
     "node",
 ) | {"file_matrix": "hyp"}
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of law pairs, labelled and counted by the hour; only hours that the watermark has closed are told."""
+    schema = _table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    pairs = events.select(F.col("ts").cast("timestamp").alias("ts"), _node(F.col("event_id")).alias("intended"), _node(F.col("user_id")).alias("generated"))
+    told = streams.windowed_labels(streams.labelled_stream(pairs, evidence.plain(spark)), "ts")
+    path = scratch(spark, "windows")
+    flat = told.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "label", "n")
+    query = flat.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/mark").option("path", f"{path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("hour string, label string, n long").parquet(f"{path}/out")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -540,7 +554,7 @@ QUERIES: dict[str, Query] = {
         verdict_histogram_derived, rewriting_proofs, model_counterexamples, verdict_settled, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
         strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, nearest_vectors, nearest_vectors_exact, neighbour_recall, dialect_lookup,
         drift_explanations, law_mutations, implication_lookup, edge_closure, edge_relations, verdict_evidence, drift_summary,
-        metric_accuracy, ambiguous_readings, oriented_rules, metric_report, sql_interface, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels,
+        metric_accuracy, ambiguous_readings, oriented_rules, metric_report, sql_interface, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels, stream_windows,
     )
 } | files.QUERIES | {f"catalogue_{n}": catalogue_of(n) for n in ("text", "text2")} | {f"render_{n}": render_of(n) for n in NOTATIONS}
 QUERIES |= {name: counted(QUERIES[name], key) for name, key in COUNTED.items()}
