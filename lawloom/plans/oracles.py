@@ -328,6 +328,53 @@ def _directions() -> str:
     return f"CASE {' '.join(whens)} END"
 
 
+def _left_over(forest: tuple, blanks: int, cuts: int) -> set:
+    """All forests with just so many leaves blanked and nodes cut; a cut operation leaves its arguments."""
+    if not forest:
+        return {()} if blanks == cuts == 0 else set()
+    first, rest = forest[0], forest[1:]
+    out = set()
+    for b in range(blanks + 1):
+        for c in range(cuts + 1):
+            here = set()
+            if isinstance(first, str):
+                here |= {(first,)} if b == c == 0 else {("_",)} if (b, c) == (1, 0) else {()} if (b, c) == (0, 1) else set()
+            else:
+                here |= {(inner,) for inner in _left_over(first, b, c)}
+                here |= _left_over(first, b, c - 1) if c else set()
+            out |= {h + r for h in here for r in _left_over(rest, blanks - b, cuts - c)}
+    return out
+
+
+def _nearby() -> str:
+    """CTEs ``near(node, other, distance)``: laws one or two tree edits apart.
+
+    A law's tree is binary, so an odd number of cuts and insertions leads to none, and nothing is gained by
+    relabelling an operation: two laws that near have equal trees but for two leaves, or share what is left after a
+    cut in each, or after two cuts in one.
+    """
+
+    def spell(f) -> str:
+        return "".join(x if isinstance(x, str) else f"({spell(x)})" for x in f)
+
+    rows = []
+    for _, k, i, j, a, b in _pairs():
+        for turned, sides in ((0, (a, b)), (1, (b, a))):
+            numbers = iter(range(6))
+            forest = tuple(_mark(t, numbers) for t in sides)
+            for blanks, cuts in ((1, 0), (2, 0), (0, 0), (0, 1), (0, 2)):
+                rows += [f"({k},{i},{j},{_size_of(b)},{turned},{blanks},{cuts},{_quote(spell(f))})" for f in sorted(_left_over(forest, blanks, cuts), key=spell)]
+    filled = _filled("tpl", "names")
+    return f"""cut_tpl(lo, lr, rr, ro, turned, blanks, cuts, tpl) AS (VALUES {', '.join(rows)}),
+cut_laws AS MATERIALIZED (
+  SELECT DISTINCT node, blanks, cuts, {filled} AS rest
+  FROM (SELECT *, CASE WHEN turned = 1 THEN flip ELSE rhyme END AS names FROM laws JOIN cut_tpl USING (lo, lr, ro, rr))),
+near AS (
+  SELECT a.node, b.node AS other, min(a.blanks + a.cuts + b.cuts) AS distance
+  FROM cut_laws a JOIN cut_laws b ON a.rest = b.rest AND a.blanks = b.blanks AND a.blanks + a.cuts + b.cuts <= 2 AND a.node <> b.node
+  WHERE a.node IN (SELECT 1 + c_custkey % 4694 FROM customer) GROUP BY a.node, b.node)"""
+
+
 def _value(tree, leaf: int, cell: Callable[[str, str], str]) -> tuple[str, int]:
     """SQL for a term's value; leaves are v1, v2, ..."""
     if tree is None:
@@ -575,6 +622,10 @@ FROM (SELECT DISTINCT CAST(i AS INT) AS intended, CAST(g AS INT) AS generated, {
 ) q LEFT JOIN laws x ON x.lo = q.lo AND x.ro = q.ro AND x.lr = q.la AND x.rr = q.rb AND x.rhyme = q.rh GROUP BY q.node, q.text""", FORMAL
     )
     sides = f"string_split({FORMAL_TEXT}, ' = ')"
+    out["nearby_laws"] = f"""WITH RECURSIVE {LAWS}, {_nearby()},
+named AS (SELECT 1 + c_custkey % 4694 AS node, count(*) AS n_customers FROM customer GROUP BY 1)
+SELECT CAST(node AS INT) AS node, CAST(distance AS BIGINT) AS distance, count(*) AS n_laws, CAST(sum(other) AS BIGINT) AS laws_sum, any_value(n_customers) AS n_customers
+FROM near JOIN named USING (node) GROUP BY node, distance"""
     out["oriented_rules"] = with_laws(
         f"""SELECT CAST(node AS INT) AS node, direction, CASE direction WHEN 'right' THEN t[1] || ' → ' || t[2] WHEN 'left' THEN t[2] || ' → ' || t[1] ELSE '' END AS rule
 FROM (SELECT node, {sides} AS t, {_directions()} AS direction FROM {_join(FORMAL)} WHERE node IN (SELECT 1 + p_partkey % 4694 FROM part))""", FORMAL

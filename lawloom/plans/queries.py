@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, terms
 from ..functions.notations import NOTATIONS, notation
-from ..operators import ambiguous, catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, neighbours, orienting, reachability, rewriting, verdicts, verify
+from ..operators import ambiguous, catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, nearby, neighbours, orienting, reachability, rewriting, verdicts, verify
 from ..operators.catalogue import CATALOGUE_SIZE, laws
 from ..sources.scratch import scratch
 from ..sql import register
@@ -445,6 +445,15 @@ def oriented_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orienting.rules(_part_laws(spark, sf_dir)).select("node", "direction", F.coalesce("rule", F.lit("")).alias("rule"))
 
 
+def nearby_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many laws are one and two tree edits away from each law that a customer names, the sum of their numbers, and how many customers name it."""
+    named = _table(spark, sf_dir, "customer").groupBy(_node(F.col("c_custkey")).alias("node")).agg(F.count("*").alias("n_customers"))
+    asked = laws(spark).join(F.broadcast(named.select("node")), "node", "left_semi")  # 4694 numbers at most
+    found = nearby.within(asked, laws(spark), 2).where("distance > 0 and id <> other")
+    told = found.groupBy(F.col("id").alias("node"), F.col("distance").cast("long").alias("distance")).agg(F.count("*").alias("n_laws"), F.sum("other").alias("laws_sum"))
+    return told.join(F.broadcast(named), "node")
+
+
 def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two metrics against the label, by relation, by priority, by both and in all: counts, unresolved, false equivalences, missed ones."""
     orders = _table(spark, sf_dir, "orders").select("o_orderpriority", _node(F.col("o_orderkey")).alias("i"), _node(F.col("o_orderkey") % 7 + F.col("o_custkey") % 97).alias("g"))
@@ -554,7 +563,7 @@ QUERIES: dict[str, Query] = {
         verdict_histogram_derived, rewriting_proofs, model_counterexamples, verdict_settled, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
         strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, nearest_vectors, nearest_vectors_exact, neighbour_recall, dialect_lookup,
         drift_explanations, law_mutations, implication_lookup, edge_closure, edge_relations, verdict_evidence, drift_summary,
-        metric_accuracy, ambiguous_readings, oriented_rules, metric_report, sql_interface, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels, stream_windows,
+        metric_accuracy, ambiguous_readings, oriented_rules, nearby_laws, metric_report, sql_interface, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels, stream_windows,
     )
 } | files.QUERIES | {f"catalogue_{n}": catalogue_of(n) for n in ("text", "text2")} | {f"render_{n}": render_of(n) for n in NOTATIONS}
 QUERIES |= {name: counted(QUERIES[name], key) for name, key in COUNTED.items()}
