@@ -24,21 +24,14 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..sources.scratch import scratch
 
-BLANK = "_"
-_FOREST = "array<struct<depth: int, label: string>>"
+#: A node is one number: its depth times ``LEVEL``, and what it is: blank (0), an operation (1) or a variable (from 2).
+LEVEL = 1 << 16
 
 
 def _nodes(term: Column) -> Column:
-    """The nodes of a term from the root, left to right, with their depths."""
-
-    def deeper(nodes: Column) -> Column:
-        return F.transform(nodes, lambda x: F.struct((x["depth"] + 1).alias("depth"), x["label"].alias("label")))
-
-    def leaf(t: Column) -> Column:
-        return F.array(F.struct(F.lit(0).alias("depth"), t.cast("string").alias("label")))
-
-    root = F.array(F.struct(F.lit(0).alias("depth"), F.lit(terms.SIGN).alias("label")))
-    return terms.fold(term, leaf, lambda a, b: F.concat(root, deeper(a), deeper(b)), _FOREST)
+    """The nodes of a term from the root, left to right."""
+    deeper = lambda nodes: F.transform(nodes, lambda x: x + LEVEL)
+    return terms.fold(term, lambda t: F.array(t + 2), lambda a, b: F.concat(F.array(F.lit(1)), deeper(a), deeper(b)), "array<int>")
 
 
 def _forests(laws_df: DataFrame, key: str) -> DataFrame:
@@ -49,21 +42,14 @@ def _forests(laws_df: DataFrame, key: str) -> DataFrame:
     return told.select("id", F.concat(_nodes(F.col("t.lhs")), _nodes(F.col("t.rhs"))).alias("forest"))
 
 
-def _blanked(forest: Column, at: Column) -> Column:
-    return F.transform(forest, lambda x, i: F.struct(x["depth"].alias("depth"), F.when(i == at, BLANK).otherwise(x["label"]).alias("label")))
-
-
-def _without(forest: Column, at: Column) -> Column:
-    """The forest without one node; what stood below it moves up."""
-
-    def moved(root: Column) -> Column:
-        after = F.slice(forest, at + 2, F.size(forest))
-        end = F.array_position(F.transform(after, lambda x: x["depth"] <= root), True)
-        below = F.when(end == 0, F.size(after)).otherwise(end - 1)
-        up = F.transform(after, lambda x, i: F.struct((x["depth"] - (i < below).cast("int")).alias("depth"), x["label"].alias("label")))
-        return F.concat(F.slice(forest, F.lit(1), at), up)
-
-    return terms.let(F.get(forest, at)["depth"], moved)
+def _edited(forest: Column, at: Column) -> tuple[Column, Column]:
+    """The forest with one node blanked, and without it; what stood below it moves up."""
+    node, before, after = F.get(forest, at), F.slice(forest, F.lit(1), at), F.slice(forest, at + 2, F.size(forest))
+    level = node - node % LEVEL
+    end = F.array_position(F.transform(after, lambda x: x < level + LEVEL), True)
+    below = F.when(end == 0, F.size(after)).otherwise(end - 1).cast("int")
+    up = F.concat(F.transform(F.slice(after, F.lit(1), below), lambda x: x - LEVEL), F.slice(after, below + 1, F.size(after)))
+    return F.concat(before, F.array(level), after), F.concat(before, up)
 
 
 def variants(laws_df: DataFrame, key: str, radius: int) -> DataFrame:
@@ -73,14 +59,14 @@ def variants(laws_df: DataFrame, key: str, radius: int) -> DataFrame:
     every = fresh
     for _ in range(radius):
         each = fresh.where("left > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("left") - 1)))
+        blank, less = _edited(F.col("forest"), F.col("at"))
         ways = F.array(
-            F.struct(_blanked(F.col("forest"), F.col("at")).alias("forest"), (F.col("blanked") + 1).alias("blanked"), F.col("cut").alias("cut")),
-            F.struct(_without(F.col("forest"), F.col("at")).alias("forest"), F.col("blanked").alias("blanked"), (F.col("cut") + 1).alias("cut")),
+            F.struct(blank.alias("forest"), (F.col("blanked") + 1).alias("blanked"), F.col("cut").alias("cut")),
+            F.struct(less.alias("forest"), F.col("blanked").alias("blanked"), (F.col("cut") + 1).alias("cut")),
         )
         fresh = each.select("id", "at", F.explode(ways).alias("w")).select("id", "w.forest", F.col("at").alias("left"), "w.blanked", "w.cut")
         every = every.unionByName(fresh)
-    spelled = F.array_join(F.transform("forest", lambda x: F.concat(x["depth"].cast("string"), F.lit(":"), x["label"])), " ")
-    return every.select("id", "blanked", "cut", spelled.alias("variant")).distinct()
+    return every.select("id", "blanked", "cut", F.col("forest").alias("variant")).distinct()
 
 
 def within(queries: DataFrame, laws_df: DataFrame, radius: int, key: str = "node") -> DataFrame:
