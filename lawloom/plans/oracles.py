@@ -591,6 +591,11 @@ FROM told"""
     out["implication_lookup"] = small + (
         f"SELECT o_orderkey, CASE WHEN i = g OR g = 1 OR i = 2 THEN 'true' WHEN (a.mask & ~b.mask) <> 0 THEN 'false' ELSE 'open' END AS implies {masked}"
     )
+    says = "CASE WHEN i = g OR g = 1 OR i = 2 THEN 'true' WHEN (a.mask & ~b.mask) <> 0 THEN 'false' END"
+    out["edge_index_lookup"] = f"""WITH RECURSIVE {LAWS}, {SAT2}, e AS (SELECT DISTINCT 1 + l_orderkey % 4694 AS i, 1 + l_suppkey % 4694 AS g FROM lineitem),
+told AS (SELECT i, g, {says} AS word FROM e JOIN masks a ON a.node = i JOIN masks b ON b.node = g)
+SELECT o_orderkey, CAST(1 + o_orderkey % 4694 AS INT) AS hyp, CAST(1 + o_custkey % 10 AS INT) AS concl, coalesce(word, 'open') AS implies
+FROM orders LEFT JOIN told ON i = 1 + o_orderkey % 4694 AND g = 1 + o_custkey % 10"""
     out["edge_relations"] = small + (
         f"SELECT CASE WHEN i = g THEN 'equivalent' ELSE {_label('i', 'g', 'a.mask', 'b.mask')} END AS label, count(*) AS n {masked} GROUP BY 1"
     )

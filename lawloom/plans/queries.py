@@ -17,6 +17,7 @@ from ..functions import clean, terms
 from ..functions.notations import NOTATIONS, notation
 from ..operators import ambiguous, catalogue, drift, evidence, magmas, mapping, metrics, models, mutations, nearby, neighbours, orienting, reachability, rewriting, verdicts, verify
 from ..operators.catalogue import CATALOGUE_SIZE, laws
+from ..sources import edge_index
 from ..sources.scratch import scratch
 from ..sql import register
 from ..streaming import streams
@@ -403,6 +404,18 @@ def implication_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("o_orderkey", word.alias("implies"))
 
 
+def edge_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled implications that line items name, stored as an index; what it says on each order's pair."""
+    lines = _table(spark, sf_dir, "lineitem").select(_node(F.col("l_orderkey")).alias("hyp"), _node(F.col("l_suppkey")).alias("concl")).distinct()
+    edges = evidence.with_status(lines, evidence.plain(spark), "hyp", "concl", "status").where(F.col("status") != evidence.UNKNOWN)
+    name = f"edge_index_{uuid.uuid4().hex}"
+    edge_index.write_edge_index(edges, scratch(spark, "edge-index"), name)
+    asked = _table(spark, sf_dir, "orders").select("o_orderkey", _node(F.col("o_orderkey")).alias("hyp"), _node(F.col("o_custkey") % 10).alias("concl"))
+    told = edge_index.lookup(spark, name, asked, "hyp", "concl")
+    word = F.when(F.col("status") == evidence.PROOF_TRUE, "true").when(F.col("status") == evidence.PROOF_FALSE, "false").otherwise("open")
+    return told.select("o_orderkey", "hyp", "concl", word.alias("implies"))
+
+
 def edge_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers as nodes of one graph, an edge per line item: each node's component and how many nodes it reaches."""
     lines = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
@@ -562,7 +575,7 @@ QUERIES: dict[str, Query] = {
         magma2_satisfaction, magma3_counts, refutations_per_law, refuted_pairs, first_witness, first_witness_size2, verdict_histogram,
         verdict_histogram_derived, rewriting_proofs, model_counterexamples, verdict_settled, verdict_by_priority, status_histogram, evidence_checks, strip_noise_documents,
         strip_noise_pages, tokenize_benchmark, parse_status_counts, metric_pairs, embedding_cosine, nearest_vectors, nearest_vectors_exact, neighbour_recall, dialect_lookup,
-        drift_explanations, law_mutations, implication_lookup, edge_closure, edge_relations, verdict_evidence, drift_summary,
+        drift_explanations, law_mutations, implication_lookup, edge_index_lookup, edge_closure, edge_relations, verdict_evidence, drift_summary,
         metric_accuracy, ambiguous_readings, oriented_rules, nearby_laws, metric_report, sql_interface, crosscheck_catalogue, broken_renderings, laws_beyond, stream_labels, stream_windows,
     )
 } | files.QUERIES | {f"catalogue_{n}": catalogue_of(n) for n in ("text", "text2")} | {f"render_{n}": render_of(n) for n in NOTATIONS}
