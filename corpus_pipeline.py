@@ -40,8 +40,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose five-word shingles have a similarity of 0.8 or more."""
-    return nearcopies.keep_one(docs)
+    """SimHash groups and bands of min-hashes bring texts together; one stays of those whose five-word shingles have a similarity of 0.8 or more."""
+    return nearcopies.keep_one_linked(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ At that similarity 64-bit SimHashes differ in about 10 bits, up to 18 or so, and
 no multi-index over 64 bits has segments for such a radius.  So candidates meet
 by bands of min-hashes: two texts of similarity 0.8 share one of BANDS bands of
 ROWS min-hashes but for 6 in ten million pairs, more similar ones all the more.
-What meets is compared by its exact similarity (see ``meeting``).
+What meets is compared by its exact similarity (see ``meeting``).  ``keep_one_linked``
+takes SimHash's own groups as well: texts that its links of three bits connect meet too,
+under the same exact check, and the bands bring what this radius does not reach.
 
 Texts with the same shingles collapse before any join.
 """
@@ -19,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import arrow_batches, materialise, sieve, sifted
 from .keeping import keep_least, text_key
 from .meeting import components_inside
@@ -83,14 +86,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), own], names=["node", "own"])
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, text_key, node)`` per row of ``docs``, and ``(node, least_id, root)`` per distinct set of shingles."""
+def simhash_slots(docs: DataFrame) -> DataFrame:
+    """``(text_key, slot)``: a signed number for the group of texts that SimHash's links connect with the text."""
+    prints, rooted = simhash.grouped(docs)
+    by_text = prints.groupBy("text_key").agg(F.min("fp").alias("fp"))
+    return by_text.join(rooted, "fp").select("text_key", F.xxhash64(F.lit("simhash"), "root").alias("slot"))
+
+
+def _grouped(docs: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_key, node)`` per row of ``docs``, and ``(node, least_id, root)`` per distinct set of shingles.
+
+    Texts that share one of ``more(text_key, slot)`` meet as those do that share a band.
+    """
     arrow_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
     seen = materialise(narrow.mapInArrow(_sketches, "doc_id long, text_key long, node long, size int, slots array<long>"), "copies-sketches")
     nodes = materialise(seen.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("size").alias("size"), F.min("slots").alias("slots")), "copies-nodes")
     classes = nodes.select("node", "least_id")
     placed = nodes.select("node", "least_id", "size", F.explode("slots").alias("slot"))
+    if more is not None:
+        own = seen.groupBy("text_key").agg(F.min("node").alias("node")).join(more, "text_key").select("node", "slot").distinct()
+        placed = materialise(placed.unionByName(nodes.where("size > 0").join(own, "node").select("node", "least_id", "size", "slot")), "copies-placed")
     shared = materialise(placed.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1"), "copies-shared")
     met = materialise(placed.join(shared, "slot"), "copies-slots")
     # An original shares more slots with its copies than they do with each other, so it makes the best head.
@@ -132,3 +148,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, rooted = _grouped(docs)
     rows = rows.join(rooted.select("node", F.col("root").alias("grp")), "node").select("doc_id", "text_key", "grp")
     return keep_least(docs, materialise(rows, "copies-rows"))
+
+
+def keep_one_linked(docs: DataFrame) -> DataFrame:
+    """As ``keep_one``, where texts that SimHash links meet as well (see ``simhash_slots``)."""
+    rows, rooted = _grouped(docs, materialise(simhash_slots(docs), "copies-simhash"))
+    rows = rows.join(rooted.select("node", F.col("root").alias("grp")), "node").select("doc_id", "text_key", "grp")
+    return keep_least(docs, materialise(rows, "copies-rows"))

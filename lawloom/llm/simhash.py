@@ -151,7 +151,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.union(starred).distinct()
 
 
-def _grouped(docs: DataFrame, width: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, width: int = 3, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, text_key, fp)`` per row of ``docs``, and ``(fp, least_id, root)`` per fingerprint."""
     fps = materialise(fingerprints(docs, width), "simhash-fingerprints")
     classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot: int = HOT) -> DataFram
     there.  Extra columns are ignored; an empty table gives an empty result.
     Of a very long text eight bytes per shingle are held at once.
     """
-    fps, rooted = _grouped(docs, width, hot)
+    fps, rooted = grouped(docs, width, hot)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
@@ -182,7 +182,7 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     Nulls, ties, repeated rows, empty tables and clashing names are as in
     ``near_duplicates`` and ``keep_least``.
     """
-    fps, rooted = _grouped(docs, width)
+    fps, rooted = grouped(docs, width)
     rows = fps.join(rooted.select("fp", F.col("root").alias("grp")), "fp").select("doc_id", "text_key", "grp")
     return keep_least(docs, materialise(rows, "simhash-rows"))
 
