@@ -144,6 +144,7 @@ def components_inside(entries: DataFrame, sets: DataFrame, needed: Needed, round
         roots = connected_components(found if links is None else links.union(found))
         links = roots.toDF("u", "v")
         left = left.drop("root").join(roots, "node", "left").select("slot", "node", "weight", "size", F.coalesce("root", "node").alias("root"))
+        left = materialise(left, "meeting-left")  # read twice, and by the next round
         refined = materialise(_refined(_open_nodes(left), sets, needed), "meeting-refined")
         groups = refined.groupBy("slot", "root").agg(F.count("*").alias("c"), F.sum("size").alias("held")).groupBy("slot")
         groups = groups.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.sum("held").alias("held"), F.sum(F.col("c") * F.col("held")).alias("within"))
