@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, columns_of, free, map_arrow, materialise, sieve, sifted, table
+from .common import arrow_batches, columns_of, free, map_arrow, materialise, remove, sieve, sifted, stored, table
 from .meeting import components_inside
 
 LEAST_TOKENS = 5
@@ -102,34 +102,43 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
     narrow = _narrow(docs)
     enough = F.col("support") >= F.when(F.col("long"), min(recurring, LONG_RECURRING)).otherwise(recurring)
     seen = materialise(narrow.mapInArrow(_occurrences, "doc_id long, text_key long, leaf long, line long, long boolean"), "lines-occurrences")
-    lines = materialise(
-        seen.groupBy("leaf", "line", "long").agg(F.count_distinct("text_key").alias("support"), F.min("doc_id").alias("keeper")), "lines-distinct"
-    )
+    written = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        table, path = stored(df, label)
+        written.append(path)
+        return table
+
+    # A leaf bounds the support of its templates, and its occurrences bound the leaf: most lines go before texts are counted.
+    often = kept(seen.groupBy("leaf", "long").agg(F.count("*").alias("support")).where(enough).select("leaf"), "lines-often")
+    lines = sifted(seen, [F.col("leaf")], sieve(often)).groupBy("leaf", "line", "long")
+    lines = kept(lines.agg(F.count_distinct("text_key").alias("support"), F.min("doc_id").alias("keeper")), "lines-distinct")
     leaves = lines.groupBy("leaf", "long").agg(F.sum("support").alias("support"), F.count("*").alias("lines"))
-    # A leaf bounds the support of its templates; one with a single line needs no comparison.
-    crowded = materialise(leaves.where(enough & (F.col("lines") > 1)).select("leaf"), "lines-leaves")
+    # A leaf with a single line needs no comparison.
+    crowded = kept(leaves.where(enough & (F.col("lines") > 1)).select("leaf"), "lines-leaves")
     alone = leaves.where(enough & (F.col("lines") == 1)).select("leaf")
     single = lines.join(alone, "leaf", "left_semi").select("line", "keeper")
 
-    # The words of such lines are read again where they occur first.
-    wanted = materialise(lines.join(crowded, "leaf", "left_semi").select("leaf", "line", "support", "keeper"), "lines-wanted")
+    # The words of such lines are read again where they occur first, and only theirs are sent on.
+    wanted = kept(lines.join(crowded, "leaf", "left_semi").select("leaf", "line", "support", "keeper"), "lines-wanted")
     again = sifted(narrow, [F.col("doc_id")], sieve(wanted.select("keeper").distinct()))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {}
-            for raw in batch.column(0):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for tokens in masked_lines(raw.as_py()):
                     if is_template(tokens):
-                        found[keys_of(tokens)] = tokens
+                        found[(doc_id, *keys_of(tokens))] = tokens
             yield pa.RecordBatch.from_arrays(
-                [_signed([k[0] for k in found]), _signed([k[1] for k in found]), pa.array(list(found.values()), pa.list_(pa.binary()))],
-                names=["leaf", "line", "tokens"],
+                [pa.array([k[0] for k in found], pa.int64()), *(_signed([k[i] for k in found]) for i in (1, 2)), pa.array(list(found.values()), pa.list_(pa.binary()))],
+                names=["keeper", "leaf", "line", "tokens"],
             )
 
-    spelled = again.select("raw").mapInArrow(spell, "leaf long, line long, tokens array<binary>")
+    spelled = again.mapInArrow(spell, "keeper long, leaf long, line long, tokens array<binary>")
+    spelled = sifted(spelled, [F.col("line"), F.col("keeper")], sieve(wanted.select("line", "keeper"))).drop("keeper")
     spelled = spelled.join(wanted.select("leaf", "line", "support"), ["leaf", "line"])
-    members = materialise(spelled.groupBy("leaf", "line", "support").agg(F.min("tokens").alias("tokens")), "lines-members")
+    members = kept(spelled.groupBy("leaf", "line", "support").agg(F.min("tokens").alias("tokens")), "lines-members")
     n = F.size("tokens")
     cuts = F.floor(n * (1 - SIMILAR) + 1e-9).cast("int") + 1
     rest = n - LEADING
@@ -141,12 +150,12 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
     cut = members.select("leaf", "line", "support", n.alias("size"), F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), segment)).alias("seg"))
     entries = cut.select(F.xxhash64("leaf", "seg.s", "seg.h").alias("slot"), F.col("line").alias("node"), F.col("support").alias("weight"), "size")
     shared = entries.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot")
-    entries = materialise(entries.join(materialise(shared, "lines-shared"), "slot", "left_semi"), "lines-entries")
+    entries = kept(entries.join(kept(shared, "lines-shared"), "slot", "left_semi"), "lines-entries")
     places = F.transform("tokens", lambda token, at: F.xxhash64("leaf", at, token))
-    sets = materialise(members.select(F.col("line").alias("node"), places.alias("own")), "lines-places")
+    sets = kept(members.select(F.col("line").alias("node"), places.alias("own")), "lines-places")
     roots = components_inside(entries, sets, needed).select(F.col("node").alias("line"), F.col("root").alias("template"))
     named = members.select("line").join(roots, "line", "left").select("line", F.coalesce("template", "line").alias("template"))
-    named = materialise(named, "lines-templates")
+    named = kept(named, "lines-templates")
     counted = (
         sifted(seen, [F.col("line")], sieve(named.select("line")))
         .join(named, "line")
@@ -155,7 +164,10 @@ def templates(docs: DataFrame, recurring: int = RECURRING) -> tuple[DataFrame, D
         .where(enough)
     )
     grouped = named.join(counted, "template").select("line", "keeper")
-    return seen, materialise(single.union(grouped), "lines-dropped")
+    dropped = materialise(single.union(grouped), "lines-dropped")
+    for path in written:
+        remove(spark, path)
+    return seen, dropped
 
 
 def _without(raw: bytes, dropped) -> tuple[bytes, int, int]:

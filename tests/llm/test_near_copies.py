@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -194,3 +195,27 @@ def test_pipeline_stage_finds_copies_by_simhash(spark, monkeypatch):
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
     first = min(r["doc_id"] for r in docs.collect())
     assert met == [14] and kept == {first + k for k in (0, 2, 4, 6, 8, 10, 12, 13)}
+
+
+def _shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_line_dedup_sends_only_lines_that_can_recur(spark):
+    """op10: lines that no other line resembles stay out of the shuffles, and steps go when the last one stands."""
+    rng = random.Random(7)
+    own = [" ".join(f"{rng.getrandbits(48):x}".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(12)) for _ in range(6000)]
+    texts = ["\n".join([*own[20 * i : 20 * i + 20], f"this notice was sent out by office {_word(i)} to all"]) for i in range(300)]
+    df, tables = common.materialise(_docs(spark, texts), "given"), set(os.listdir(common.shared_dir(spark)))
+    before, limit = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        got = linededup.drop_lines(df).agg(F.sum("n_lines"), F.sum("n_dropped")).first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert tuple(got) == (6300, 299)
+    assert _shuffled(spark) - before < 0.4 * sum(map(len, texts))
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(common.shared_dir(spark))) - tables}
+    assert {n for n in left if n.startswith("lines-")} == {"lines-occurrences", "lines-dropped"}
