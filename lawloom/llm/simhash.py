@@ -105,6 +105,9 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
     Every returned link is a true one.  For slots of up to ``hot`` fingerprints
     all links are returned; for larger ones a subset with the same components.
+
+    All joins are by sorting: Spark takes an exploded table for no larger than
+    what it was made from, and would broadcast tens of millions of probes.
     """
     hot = max(hot, 1)
     entries = _indexed(fps)
@@ -127,14 +130,14 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
         "fp", "seg", "rest", (F.col("mask") == 0).alias("same"), F.col("key").bitwiseXOR(F.col("mask")).alias("key")
     )
     # Most probes meet no slot and end here; a probe of a fingerprint's own slot needs company there.
-    slots = sizes.select("seg", "key", "n", (F.col("n") > hot).alias("crowded"))
+    slots = sizes.select("seg", "key", "n", (F.col("n") > hot).alias("crowded")).hint("merge")
     met = materialise(probes.join(slots, ["seg", "key"]).where("not same or n > 1").drop("n"), "simhash-probes")
     held = entries.join(slots.drop("n"), ["seg", "key"])
     plain = met.where("not crowded").select("seg", "key", F.col("fp").alias("u"), "same")
     pairs = (
         held.where("not crowded")
         .select("seg", "key", F.col("fp").alias("v"))
-        .join(plain, ["seg", "key"])
+        .join(plain.hint("merge"), ["seg", "key"])
         .where("u <> v and (not same or u < v)")
         .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
         .select("u", "v")
@@ -147,7 +150,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
         .union(met.where("crowded and not same").select("seg", "key", "fp", F.lit(False), F.explode(_ball(F.col("rest"), 1))))
     )
     hubs = points.where("hub").groupBy("seg", "key", "point").agg(F.min("fp").alias("v"))
-    starred = points.where("not hub").join(hubs, ["seg", "key", "point"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
+    starred = points.where("not hub").join(hubs.hint("merge"), ["seg", "key", "point"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.union(starred).distinct()
 
 
