@@ -161,5 +161,6 @@ def components_inside(entries: DataFrame, sets: DataFrame, needed: Needed, round
         left = refined.select("slot", "node", F.xxhash64("node", F.lit(turn)).alias("weight"), "size", "root")  # other heads each time
     one = refined.where("minor").toDF("slot", "a", "p", "n", "i", "minor").drop("minor")
     two = refined.toDF("slot", "b", "q", "m", "j", "minor")
-    pairs = one.join(two, "slot").where("p <> q and (not minor or a < b)").where(F.least("i", "j") >= needed(F.col("n"), F.col("m")))
+    # By sorting: rows that repeat their slot and node take few bytes in Parquet, by which Spark would choose to broadcast them.
+    pairs = one.join(two.hint("merge"), "slot").where("p <> q and (not minor or a < b)").where(F.least("i", "j") >= needed(F.col("n"), F.col("m")))
     return connected_components(links.union(_verified(pairs.select(*_ordered("a", "b")).distinct(), sets, needed)))
